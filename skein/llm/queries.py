@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, quality_rules
+from skein.llm import chat_format, jaccard_join, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op2_chat_format": chat_format.ORACLE_SQL,
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
 }
