@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, jaccard_join, quality_rules
+from skein.llm import chat_format, jaccard_join, quality_rules, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op9_token_files": token_files.op9_token_files,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
