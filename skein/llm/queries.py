@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, jaccard_join, quality_rules, token_files
+from skein.llm import chat_format, decontaminate, jaccard_join, quality_rules, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op9_token_files": token_files.op9_token_files,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op2_chat_format": chat_format.ORACLE_SQL,
     "op3_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op6_decontamination": decontaminate.ORACLE_SQL,
 }
