@@ -5,14 +5,17 @@ how common their bucket is in a corpus-wide count sketch of fixed size (rare fir
 hash. Two sets whose Jaccard similarity reaches the threshold share a shingle among the first
 n - ceil(threshold * n) + 1 of each.
 
+More: with l shingles added to both prefixes, they share l + 1 of those (`_common`).
+
 1. Equal sets are one node (least doc_id), and nodes with equal prefix and size one group.
 2. The prefixes of groups meet by shingle. Each list, sorted by size, proposes its neighbours
-   and its head; in groups of several nodes the neighbours are proposed likewise. Proposals
-   are verified exactly on whole sets, and the links give first components.
-3. All pairs of a list that lie in different components and pass the length and positional
-   bounds are expanded to the groups' nodes and verified too. A pair left out is thus either
-   connected already or cannot reach the threshold, so no component is lost, while the pairs
-   of a large group of near copies are never written out.
+   and its head; in groups of several nodes the neighbours are proposed likewise. Pairs of
+   groups must share enough of their longer prefixes; what is left is verified exactly on
+   whole sets, and the links give first components.
+3. All pairs of a list that lie in different components and pass the length, positional and
+   prefix bounds are expanded to the groups' nodes and verified too. A pair left out is thus
+   either connected already or cannot reach the threshold, so no component is lost, while the
+   pairs of a large group of near copies are never written out.
 
 Defined results: null, empty and blank texts have size 0 and their own doc_id as component.
 A text of under k words is one shingle. Rows that share a doc_id are one document. A null
@@ -36,6 +39,8 @@ from skein.llm.shared import Words, chunks, mix, shingles, stored, table
 SKETCH_BITS = (16, 24)
 #: Bits of the filter that spares documents without a candidate the third pass.
 FILTER_BITS = 24
+#: A prefix is longer than it needs to be for one common shingle, by one in so many of the set.
+EXTRA = 20
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +102,7 @@ def signatures(docs: DataFrame, ranks: np.ndarray, bits: int, k: int, percent: i
             for i in range(batch.num_rows):
                 own = np.unique(keys[at[i] : at[i + 1]])
                 n[i] = len(own)
-                prefix = own[: len(own) - (percent * len(own) + 99) // 100 + 1] if len(own) else own
+                prefix = own[: len(own) - (percent * len(own) + 99) // 100 + (len(own) + EXTRA - 1) // EXTRA]
                 prefixes.append(prefix)
                 sums[0, i], sums[1, i] = mix(own).sum(), mix(own ^ _OTHER).sum()
                 sums[2, i], sums[3, i] = mix(prefix).sum(), mix(prefix ^ _OTHER).sum()
@@ -136,8 +141,22 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("node"), "text", bit("doc_id").alias("b")).where("node IS NOT NULL").mapInArrow(run, f"node {kind}, s array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, counted exactly."""
+def _common(n):
+    """How many shingles the stored prefixes of two sets must share, for the smaller of them: one, and those by which it is longer."""
+    return F.floor((n + EXTRA - 1) / EXTRA)
+
+
+def _alike(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs of groups (a, b) whose prefixes share as much as a link needs."""
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    left = pairs.join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+    both = left.join(groups.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= _common(F.least("na", "nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the threshold, counted exactly."""
+    sets = _whole_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -149,16 +168,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     docs = docs.select("doc_id", "text")
     ranks, bits = rank_table(docs, k)
     signed = stored(signatures(docs, ranks, bits, k, percent), "signatures")
-    nodes = stored(
-        signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")),
-        "nodes",
-    )
-    groups = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("size"), F.first("prefix").alias("prefix"))
-    members = stored(nodes.select("node", "n", "p1", "p2").join(groups.where("size > 1").select("n", "p1", "p2", "gid"), ["n", "p1", "p2"], "left").select("node", F.coalesce("gid", "node").alias("gid")), "members")
+    sized = signed.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = stored(sized.groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("doc_id").alias("node")), "nodes")
+    groups = stored(sized.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups")
+    members = stored(nodes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("node", "gid"), "members")
 
     fits = lambda small, large: F.col(small) * 100 >= F.col(large) * percent
     by_list = W.partitionBy("tok").orderBy("n", "gid")
-    lists = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
+    needed = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    lists = groups.select("gid", "n", F.posexplode(F.slice("prefix", F.lit(1), needed.cast("int"))).alias("pos", "tok"))
     lists = lists.select(
         "tok", "gid", "n", "pos",
         F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"),
@@ -168,20 +186,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     lists = stored(lists.where((fits("n_before", "n")) | (fits("n", "n_after"))), "lists")
     by_group = W.partitionBy("gid").orderBy("node")
     inside = members.withColumn("before", F.lag("node").over(by_group)).where("before IS NOT NULL")
-    pairs = (
+    proposed = (
         lists.where(fits("n_before", "n")).select(F.col("gid").alias("a"), F.col("before").alias("b"))
         .union(lists.where(fits("n_head", "n")).select("gid", "head"))
-        .union(inside.select("node", "before")).union(inside.select("node", "gid"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    wanted = lists.select("gid").distinct().join(members, "gid").select("node").union(inside.select("node")).union(inside.select("gid")).distinct()
-    sets = _whole_sets(docs, wanted, k)
-    links = stored(_verified(pairs, sets, percent), "links")
+    pairs = stored(
+        _alike(proposed, groups, percent).union(inside.select("node", "before")).union(inside.select("node", "gid"))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
+        "pairs",
+    )
+    links = stored(_verified(pairs, docs, k, percent), "links")
     components = connected_components(links)
 
     # what is left: lists and groups whose nodes lie in different components
-    labelled = members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c"))
-    labelled = stored(labelled, "labelled")
+    labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
     split = stored(labelled.select("gid", "c").distinct(), "split")
     # of two entries in different components, one at least lies outside the list's largest component
     entries = lists.select("tok", "gid", "n", "pos").join(split, "gid")
@@ -189,19 +207,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     entries = stored(entries.join(largest, "tok"), "entries")
     x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c", "big"))) for s in "xy")
     x = x.where("c_x <> big_x")
-    shared = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    least = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     across = (
         x.join(y, "tok")
-        .where((F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
-        .where(shared * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
-        .select("gid_x", "c_x", "gid_y", "c_y").distinct()
+        .where((F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y")))
+        .where((F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (least * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
+        .select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b"))
     )
-    u, v = (split.select(F.col("gid"), F.col("c").alias(f"c_{s}")) for s in "xy")
-    within = u.join(v, "gid").where("c_x < c_y").select(F.col("gid").alias("gid_x"), "c_x", F.col("gid").alias("gid_y"), "c_y")
+    met = _alike(across, groups, percent).select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"))
+    torn = split.groupBy("gid").agg(F.count(F.lit(1)).alias("cs")).where("cs > 1").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(f"gid_{s}"), F.col("c").alias(f"c_{s}")) for n, s in (("a", "x"), ("b", "y")))
-    rest = stored(across.union(within).join(p, ["gid_x", "c_x"]).join(q, ["gid_y", "c_y"]).select("a", "b").distinct(), "rest")
+    rest = met.union(torn).join(p, "gid_x").join(q, "gid_y").where("c_x <> c_y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = stored(rest, "rest")
     if rest.head(1):
-        more = stored(_verified(rest, _whole_sets(docs, rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), k), percent), "links")
+        more = stored(_verified(rest, docs, k, percent), "links")
         if more.head(1):
             components = connected_components(links.union(more))
 

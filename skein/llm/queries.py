@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, decontaminate, jaccard_join, quality_rules, token_files
+from skein.llm import chat_format, decontaminate, jaccard_join, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op9_token_files": token_files.op9_token_files,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
