@@ -145,43 +145,63 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def index_of(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The benchmark's windows, ordered by rarity in docs, as broadcast blocks."""
     blocks = _blocks(benchmark)
     for block in blocks:
         counts = shingle_counts(docs, block)
         for index in block:
             index.ordered(counts)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+
+def hits(column: pa.Array, blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, hit words of each text, and the distinct (text, item) pairs in order."""
+    w = Words(column, NOT_ALNUM, lower=True)
+    h = w.hashes()
+    bounds = np.concatenate([[0], np.cumsum(w.counts)])
+    cover = np.zeros(len(h) + 1, np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for block in blocks:
+        for index in block.value:
+            start, window = index.find(h, w.text, bounds)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + index.width, -1)
+            found.append(np.unique(np.stack([w.text[start], index.items[window]], 1), axis=0))
+    hit = np.cumsum(cover)[: len(h)] > 0
+    return w.counts.astype(np.int64), np.bincount(w.text[hit], minlength=w.n_texts).astype(np.int64), np.unique(np.concatenate(found), axis=0)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = index_of(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = _digest([])
         for batch in chunks(batches):
-            w = Words(batch.column("text"), NOT_ALNUM, lower=True)
-            h = w.hashes()
-            bounds = np.concatenate([[0], np.cumsum(w.counts)])
-            cover = np.zeros(len(h) + 1, np.int64)
-            found = [np.zeros((0, 2), np.int64)]
-            for block in shared:
-                for index in block.value:
-                    start, window = index.find(h, w.text, bounds)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + index.width, -1)
-                    found.append(np.unique(np.stack([w.text[start], index.items[window]], 1), axis=0))
-            hit = np.cumsum(cover)[: len(h)] > 0
-            pairs = np.unique(np.concatenate(found), axis=0)
-            at = np.searchsorted(pairs[:, 0], np.arange(w.n_texts + 1))
-            n_hit = np.bincount(w.text[hit], minlength=w.n_texts)
-            none = _digest([])
-            digests = [_digest(pairs[at[i] : at[i + 1], 1].tolist()) if at[i] < at[i + 1] else none for i in range(w.n_texts)]
+            n_words, n_hit, pairs = hits(batch.column("text"), blocks)
+            at = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1))
+            digests = [_digest(pairs[at[i] : at[i + 1], 1].tolist()) if at[i] < at[i + 1] else none for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(np.diff(at).astype(np.int64)), pa.array(digests), pa.array(n_hit > 0)],
+                [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(np.diff(at).astype(np.int64)), pa.array(digests), pa.array(n_hit > 0)],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of the benchmark."""
+    blocks = index_of(docs, benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(hits(batch.column("text"), blocks)[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, quality_rules, source_mix, token_files, toxicity
+import corpus_pipeline
+from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, source_mix, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,8 +12,10 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_token_files": token_files.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
