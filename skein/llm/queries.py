@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, source_mix, token_files, toxicity
+from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, pii, quality_rules, secret_scan, source_mix, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_pii": pii.op8_pii,
     "op9_token_files": token_files.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
