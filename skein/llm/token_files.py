@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ BLOCK_IDS = 1 << 18
 #: Ids after which a section is closed; a longer document makes a longer section.
 SECTION_IDS = 1 << 21
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 END_ID = 2
 
 _LOW = np.uint64(1 << 31)
@@ -81,23 +82,26 @@ class Coder:
 
     def encode(self, ids: np.ndarray, lanes: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         """Checkpoints (first word, states), in order of rows, and the words."""
-        place = np.searchsorted(self.symbols, ids)
+        inverse = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 1, np.int64)
+        inverse[self.symbols] = np.arange(len(self.symbols))
+        place = inverse[ids]
+        freq, first, most = self.freq[place], self.first[place], self.most[place]
         rows = -(-len(ids) // lanes)
         x = np.full(lanes, _LOW, np.uint64)
         out: list[np.ndarray] = []
         moved, marks = 0, []
         for row in range(rows - 1, -1, -1):
-            s = place[row * lanes : (row + 1) * lanes]
-            own = x[: len(s)]
-            f = self.freq[s]
-            full = own >= self.most[s]
+            at = slice(row * lanes, (row + 1) * lanes)
+            f = freq[at]
+            own = x[: len(f)]
+            full = own >= most[at]
             if full.any():
                 words = own[full]
                 out.append((words & np.uint64(0xFFFFFFFF)).astype(np.uint32))
                 moved += len(words)
                 own[full] = words >> _WORD
             q = own // f
-            x[: len(s)] = (q << np.uint64(SCALE_BITS)) + (own - q * f) + self.first[s]
+            x[: len(f)] = (q << np.uint64(SCALE_BITS)) + (own - q * f) + first[at]
             if row % CHECKPOINT_ROWS == 0:
                 marks.append((moved, x.copy()))
         words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
@@ -193,13 +197,40 @@ _NEAR = re.compile(r"[\s\x00-\x1f][\s\x00-\x1f]")
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """A byte-level BPE tokenizer that remembers the ids of words, within a bound."""
+    """A byte-level BPE tokenizer that remembers the ids of words, within a bound.
+
+    Texts are cut into words, and words into the pieces of the vocabulary's pattern; the
+    library's model encodes each piece it has not met. A word with a special token, or a
+    tokenizer of another make, goes through the library's own pipeline whole.
+    """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
+        import json
+
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}  # pieces of words that have several
+        self.spaced: dict[str, bytes] = {}  # words that follow a space
+        made = json.loads(self.tokenizer.to_str())
+        pre = made.get("pre_tokenizer") or {}
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and made.get("normalizer") is None and made["model"]["type"] == "BPE"
+        self.special = [t["content"] for t in made.get("added_tokens") or []]
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -208,24 +239,42 @@ class Encoder:
         return _encoders[path]
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _NEAR.search(text) or text[:1].isspace() or text[-1:].isspace():
-            parts = _CUT.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])] if parts[0] or len(parts) > 1 else []
+    def words(text: str) -> list[str]:
+        """The text cut at spaces that no piece crosses; each space belongs to the word after it, and is left out."""
+        return _CUT.split(text) if _NEAR.search(text) or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.known.get(piece)
+        if got is None:
+            got = self.spaced.get(piece[1:]) if piece[0] == " " and len(piece) > 1 else None
+            got = self._ids(piece) if got is None else got
+            if len(self.known) < self.most // 4:
+                self.known[piece] = got
+        return got
+
+    def _word(self, word: str) -> bytes:
+        if not self.plain or any(s in word for s in self.special):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        pieces = self.pattern.findall(word)
+        return self._ids(word) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, (np.array(e.ids, np.uint32).astype("<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
-        if len(self.known) > self.most:
-            for word in new:
-                del self.known[word]
+        out, spaced = [], self.spaced
+        for text in texts:
+            words = self.words(text)
+            coded = list(map(spaced.get, words))
+            coded[0] = self._word(words[0])
+            if None in coded:
+                for i, got in enumerate(coded):
+                    if got is None:
+                        word = words[i]
+                        coded[i] = got = self._word(" " + word)
+                        if len(spaced) < self.most:
+                            spaced[word] = got
+            out.append(np.frombuffer(b"".join(coded), "<u4"))
         return out
 
 
