@@ -110,10 +110,10 @@ def symbols(column: pa.Array, base: Base) -> np.ndarray:
 
 
 def duplicate_lines(column: pa.Array, base: Base) -> np.ndarray:
-    """More than three lines in ten repeat an earlier one, among five lines or more."""
+    """More than half of the lines repeat an earlier one, among five lines or more."""
     data, at = raw(text_of(column))
     n = per_text(data == 0x0A, at) + 1
-    return (n >= 5) & (10 * base["n_dup_lines"] > 3 * n)
+    return (n >= 5) & (2 * base["n_dup_lines"] > n)
 
 
 def word_length(column: pa.Array, base: Base) -> np.ndarray:
@@ -142,7 +142,15 @@ def distinct_words(column: pa.Array, base: Base) -> np.ndarray:
     return (w.counts >= 200) & (20 * distinct < np.minimum(w.counts, 1000))
 
 
-RULES: dict[str, Rule] = {f.__name__: f for f in (symbols, duplicate_lines, word_length, capitals, digits, distinct_words)}
+def stutter(column: pa.Array, base: Base) -> np.ndarray:
+    """More than one word in five equals the word before it."""
+    w = Words(column)
+    h = w.hashes()
+    again = np.flatnonzero((h[1:] == h[:-1]) & (w.text[1:] == w.text[:-1])) + 1
+    return 5 * np.bincount(w.text[again], minlength=w.n_texts) > w.counts
+
+
+RULES: dict[str, Rule] = {f.__name__: f for f in (symbols, duplicate_lines, word_length, capitals, digits, distinct_words, stutter)}
 
 
 def base_failed(base: Base) -> np.ndarray:
@@ -224,17 +232,19 @@ WITH w AS (
          CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct,
+         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_again
   FROM w LEFT JOIN r USING (doc_id)
 ), f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 4 * n_symbols > n_words
-            OR (n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)
+            OR (n_lines >= 5 AND 2 * n_dup_lines > n_lines)
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 2 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g'))
             OR 3 * length(regexp_replace(t, '[^0-9]', '', 'g')) > word_chars
-            OR (n_words >= 200 AND 20 * n_distinct < least(n_words, 1000))) AS kept
+            OR (n_words >= 200 AND 20 * n_distinct < least(n_words, 1000))
+            OR 5 * n_again > n_words) AS kept
 FROM f
 """
