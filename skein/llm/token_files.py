@@ -42,6 +42,8 @@ SECTION_IDS = 1 << 21
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 1_200_000
 END_ID = 2
+#: Shards whose bounds are found by sketch and written into the plan; more are dealt by Spark's range partitioning.
+MOST_BOUNDS = 2048
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -278,16 +280,18 @@ class Encoder:
         return out
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, most_bounds: int = MOST_BOUNDS) -> DataFrame:
     """Writes docs (doc_id, text) to the shared folder; the files as a table shard, part, first (ids of the shard before), n_tokens, doc_ids, section."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted({int(b) for b in (docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) or [])}) if n > 1 else []
-    find = F.lit(0)
-    if bounds:
-        find = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), bounds))
-    dealt = docs.withColumn("shard", find.cast("int")).repartitionById(max(n, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
+    order = ["shard", F.asc_nulls_first("doc_id"), "text"]
+    if n <= most_bounds:
+        bounds = sorted({int(b) for b in docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) or []}) if n > 1 else []
+        find = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), bounds)) if bounds else F.lit(0)
+        dealt = docs.withColumn("shard", find.cast("int")).repartitionById(max(n, len(bounds) + 1), "shard").sortWithinPartitions(*order)
+    else:  # Spark's own range partitioning reads the texts once more, but needs no expression over the bounds
+        dealt = docs.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("shard", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path)

@@ -45,6 +45,8 @@ def test_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS start")
     got = sorted(map(tuple, T.token_file_digest(df).collect()), key=lambda r: r[1])
     assert got == brute(rows)
+    ranged = T.read_tokens(T.write_tokens(df, str(public_tokenizers.path("byte_bpe_50k.json")), most_bounds=1))
+    assert sorted(map(tuple, ranged.collect()), key=lambda r: r[1]) == got
 
 
 def test_empty_table(spark):
