@@ -8,12 +8,12 @@ n - ceil(threshold * n) + 1 of each.
 More: with l shingles added to both prefixes, they share l + 1 of those (`_common`).
 
 1. Equal sets are one node (least doc_id), and nodes with equal prefix and size one group.
-2. The prefixes of groups meet by shingle. Each list, sorted by size, proposes its neighbours
-   and its head; in groups of several nodes the neighbours are proposed likewise. Pairs of
-   groups must share enough of their longer prefixes; what is left is verified exactly on
-   whole sets, and the links give first components.
-3. All pairs of a list that lie in different components and pass the length, positional and
-   prefix bounds are expanded to the groups' nodes and verified too. A pair left out is thus
+2. The prefixes of groups meet by shingle. In each list, sorted by size, a group meets the one
+   before it and the list's head; the one it meets most often is proposed, and in groups of
+   several nodes the least node is. Proposals that share enough of their prefixes are verified exactly on whole
+   sets, and the links give first components.
+3. All pairs of a list that lie in different components, pass the length bound and share enough
+   of their prefixes are expanded to the groups' nodes and verified too. A pair left out is thus
    either connected already or cannot reach the threshold, so no component is lost, while the
    pairs of a large group of near copies are never written out.
 
@@ -24,6 +24,7 @@ doc_id gives a null component, and links nothing. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,9 @@ from pyspark.sql import Window as W
 from skein.llm.components import connected_components
 from skein.llm.shared import Words, chunks, mix, shingles, stored, table
 
-#: Bounds of the count sketch: 2^16 to 2^24 buckets, about one for each document.
+#: The count sketch has about one bucket for 200 bytes of text, within these powers of two; it is broadcast, a byte a bucket.
 SKETCH_BITS = (16, 24)
+CHUNK_BITS = 16
 #: Bits of the filter that spares documents without a candidate the third pass.
 FILTER_BITS = 24
 #: A prefix is longer than it needs to be for one common shingle, by one in so many of the set.
@@ -67,24 +69,35 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    """Class of each bucket of the count sketch over all shingles of docs: 0 up to twice the mean, then one more for each doubling."""
-    bits = int(np.clip(int(docs.count()).bit_length(), *SKETCH_BITS))
+    """Class of each bucket of the count sketch over all shingles of docs, in half standard deviations from four below the mean, and the sketch's bits."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(int(size // 200).bit_length(), *SKETCH_BITS))
+    n_chunks = 1 << (bits - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in chunks(batches):
-            h, _ = _sets(batch, k)
-            np.add.at(total, _bucket(h, bits), 1) if len(h) < 4096 else np.add(total, np.bincount(_bucket(h, bits), minlength=1 << bits), out=total)
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+            np.add.at(total, _bucket(_sets(batch, k)[0], bits), np.uint32(1))
+        for i, part in enumerate(np.split(total, n_chunks)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
-    got = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << bits)
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    mean = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1))), 0, 63).astype(np.uint8), bits
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                own = np.frombuffer(zlib.decompress(packed), np.uint32)
+                total[i] = total.get(i, 0) + own.astype(np.int64)
+        for i, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    counts = {i: np.frombuffer(c, np.int64) for i, c in zip(parts.column("chunk").to_pylist(), parts.column("counts").to_pylist())}
+    mean = max(sum(int(c.sum()) for c in counts.values()) / (1 << bits), 1.0)
+    ranks = np.zeros(1 << bits, np.uint8)
+    for i, c in counts.items():
+        ranks[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] = np.clip(np.floor((c - mean) / np.sqrt(mean) * 2) + 8, 0, 48) + np.clip(np.floor(np.log2(np.maximum(c / mean, 1))), 0, 15)
+    return ranks, bits
 
 
 def signatures(docs: DataFrame, ranks: np.ndarray, bits: int, k: int, percent: int) -> DataFrame:
@@ -175,23 +188,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     fits = lambda small, large: F.col(small) * 100 >= F.col(large) * percent
     by_list = W.partitionBy("tok").orderBy("n", "gid")
-    needed = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    lists = groups.select("gid", "n", F.posexplode(F.slice("prefix", F.lit(1), needed.cast("int"))).alias("pos", "tok"))
-    lists = lists.select(
-        "tok", "gid", "n", "pos",
-        F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"),
-        F.lead("n").over(by_list).alias("n_after"),
+    lists = groups.select("gid", "n", F.explode("prefix").alias("tok")).select(
+        "tok", "gid", "n", F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"), F.lead("n").over(by_list).alias("n_after"),
         F.first("gid").over(by_list).alias("head"), F.first("n").over(by_list).alias("n_head"),
     )
     lists = stored(lists.where((fits("n_before", "n")) | (fits("n", "n_after"))), "lists")
-    by_group = W.partitionBy("gid").orderBy("node")
-    inside = members.withColumn("before", F.lag("node").over(by_group)).where("before IS NOT NULL")
-    proposed = (
-        lists.where(fits("n_before", "n")).select(F.col("gid").alias("a"), F.col("before").alias("b"))
-        .union(lists.where(fits("n_head", "n")).select("gid", "head"))
-    )
+    inside = members.where("node <> gid")
+    # each group with the one that stands before it, or at the head, in most of its lists; a head that many share makes a star
+    offers = F.array(F.when(fits("n_head", "n") & (F.col("head") != F.col("gid")), F.col("head")), F.when(fits("n_before", "n") & (F.col("before") != F.col("head")), F.col("before")))
+    offered = lists.select("gid", "n", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("b"))
+    often = offered.groupBy("gid", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")).where((F.col("times") > 1) | (_common(F.col("n")) == 1))
+    proposed = often.groupBy("gid").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("least"))).alias("b")).select(F.col("gid").alias("a"), "b")
     pairs = stored(
-        _alike(proposed, groups, percent).union(inside.select("node", "before")).union(inside.select("node", "gid"))
+        _alike(proposed, groups, percent).union(inside.select("node", "gid"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
         "pairs",
     )
@@ -202,19 +211,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
     split = stored(labelled.select("gid", "c").distinct(), "split")
     # of two entries in different components, one at least lies outside the list's largest component
-    entries = lists.select("tok", "gid", "n", "pos").join(split, "gid")
+    entries = lists.select("tok", "gid", "n").join(split, "gid")
     largest = entries.groupBy("tok").agg(F.mode("c").alias("big"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok", "big")
     entries = stored(entries.join(largest, "tok"), "entries")
-    x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c", "big"))) for s in "xy")
+    x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "c", "big"))) for s in "xy")
     x = x.where("c_x <> big_x")
-    least = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    across = (
-        x.join(y, "tok")
-        .where((F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y")))
-        .where((F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (least * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
-        .select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b"))
+    across = x.join(y, "tok").where(
+        (F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y"))
+        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
     )
-    met = _alike(across, groups, percent).select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"))
+    # a pair stands in the list of every shingle that its prefixes share, so its rows are at least as many as those
+    once = across.select(F.greatest("gid_x", "gid_y").alias("gid_x"), F.least("gid_x", "gid_y").alias("gid_y"), F.least("n_x", "n_y").alias("n"))
+    met = once.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")).where(F.col("times") >= _common(F.col("n"))).select("gid_x", "gid_y")
     torn = split.groupBy("gid").agg(F.count(F.lit(1)).alias("cs")).where("cs > 1").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(f"gid_{s}"), F.col("c").alias(f"c_{s}")) for n, s in (("a", "x"), ("b", "y")))
     rest = met.union(torn).join(p, "gid_x").join(q, "gid_y").where("c_x <> c_y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
