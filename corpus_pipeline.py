@@ -18,6 +18,8 @@ from skein.llm.toxicity import train, without_toxic
 
 #: Ids of duplicates that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Words that a worker remembers in the last stage, fewer than in the operator alone: the workers hold the other stages' memory too.
+CACHE_WORDS = 400_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, and their digest."""
-    return token_file_digest(docs)
+    return token_file_digest(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [

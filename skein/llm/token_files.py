@@ -196,7 +196,7 @@ def decode_section(section: bytes) -> list[np.ndarray]:
 #: A space between two characters that no tokenizer pattern takes for white space: no token of the vocabulary's pattern crosses it.
 _CUT = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[^\s\x00-\x1f])")
 _NEAR = re.compile(r"[\s\x00-\x1f][\s\x00-\x1f]")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -235,10 +235,12 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+    def of(cls, path: str, most: int) -> Encoder:
+        """The worker's encoder; one at a time is kept."""
+        if (path, most) not in _encoders:
+            _encoders.clear()
+            _encoders[path, most] = cls(path, most)
+        return _encoders[path, most]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -280,7 +282,7 @@ class Encoder:
         return out
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, most_bounds: int = MOST_BOUNDS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, most_bounds: int = MOST_BOUNDS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes docs (doc_id, text) to the shared folder; the files as a table shard, part, first (ids of the shard before), n_tokens, doc_ids, section."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -294,7 +296,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, mos
         dealt = docs.repartitionByRange(n, F.asc_nulls_first("doc_id")).withColumn("shard", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path, cache_words)
         end = np.array([end_id], np.uint32)
         shard, part, first, held, names, size = None, 0, 0, [], [], 0
 
@@ -353,12 +355,13 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return files.select("shard", "first", "doc_ids", "section").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_digest(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def token_file_digest(docs: DataFrame, tokenizer_path: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Writes the files and reads them back; cache_words bounds what a worker's memory of words holds, not what is encoded."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    return read_tokens(write_tokens(docs, str(tokenizer_path)))
+    return read_tokens(write_tokens(docs, str(tokenizer_path), cache_words=cache_words))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
