@@ -5,9 +5,10 @@ templates. A line could match only if it holds one of the terms without which no
 reaches the threshold (`_needed`), so other lines are never taken apart. Document frequencies
 of the templates' terms are counted over all lines of all files; other terms count as unseen.
 
-A file has the licence of its best line. A licence file, by name or because half of its
-words or more stand in matching lines, gives its licence to its directory, and a file without
-one inherits from the nearest ancestor directory that has one (ties: the least path).
+A file has the licence of its best line. A licence file, by name or, if its name has no ending
+or that of plain text, because half of its words or more stand in matching lines, gives its
+licence to its directory; a source file with a header does not. A file without a licence
+inherits from the nearest ancestor directory that has one (ties: the least path).
 
 DataFrame operations only. Null texts have no lines; a null path has no directory and
 inherits nothing; repeated rows get equal results, and an empty table an empty one. Other
@@ -42,6 +43,8 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[^/]*)?$"
+#: Names of files whose words decide; others are source files or data.
+PLAIN_FILE = r"(?i)(^|/)[^./]+(\.(txt|md|rst))?$"
 
 
 def terms(text: str) -> list[str]:
@@ -113,7 +116,7 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "id", "path",
         F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")).alias("dir"),
         F.col("m.license").alias("own"), F.col("m.score").alias("score"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        (F.col("m").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (2 * F.col("words") >= F.col("n_words")))).alias("license_file"),
+        (F.col("m").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (F.col("path").rlike(PLAIN_FILE) & (2 * F.col("words") >= F.col("n_words"))))).alias("license_file"),
     )
     own = own.withColumn("license_file", F.coalesce("license_file", F.lit(False)))
     given = own.where(F.col("license_file") & F.col("dir").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "own")).alias("g"))
