@@ -5,15 +5,19 @@ how common their bucket is in a corpus-wide count sketch of fixed size (rare fir
 hash. Two sets whose Jaccard similarity reaches the threshold share a shingle among the first
 n - ceil(threshold * n) + 1 of each.
 
-More: with l shingles added to both prefixes, they share l + 1 of those (`_common`).
+More: of an overlap that two sizes need, all that does not fit behind the prefixes must lie in
+them (`_needed`); with longer prefixes and near sizes, that is most of a prefix.
 
 1. Equal sets are one node (least doc_id), and nodes with equal prefix and size one group.
-2. The prefixes of groups meet by shingle. In each list, sorted by size, a group meets the one
-   before it and the list's head; the one it meets most often is proposed, and in groups of
-   several nodes the least node is. Proposals that share enough of their prefixes are verified exactly on whole
+2. The prefixes of groups meet by shingle. In each list, a group meets the one before it by size
+   and the list's hub, which has the largest part of its prefix in lists and so the least of
+   its own; the one it meets most often is proposed, and in groups of several nodes the least
+   node is. Proposals that share enough of their prefixes are verified exactly on whole
    sets, and the links give first components.
-3. All pairs of a list that lie in different components, pass the length bound and share enough
-   of their prefixes are expanded to the groups' nodes and verified too. A pair left out is thus
+3. All pairs of a list that lie in different components, pass the bounds of length and position
+   and share enough of their prefixes are expanded to the groups' nodes and verified too. The
+   bound of position: what two sets share before a common shingle stands in both prefixes, and
+   so in lists that lie in several components. A pair left out is thus
    either connected already or cannot reach the threshold, so no component is lost, while the
    pairs of a large group of near copies are never written out.
 
@@ -154,9 +158,23 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("node"), "text", bit("doc_id").alias("b")).where("node IS NOT NULL").mapInArrow(run, f"node {kind}, s array<long>")
 
 
-def _common(n):
-    """How many shingles the stored prefixes of two sets must share, for the smaller of them: one, and those by which it is longer."""
-    return F.floor((n + EXTRA - 1) / EXTRA)
+def _rest(n, percent: int):
+    """How many shingles of a set of n stand behind its prefix."""
+    return F.ceil(n * percent / 100) - F.ceil(n / EXTRA)
+
+
+def _overlap(x, y, percent: int):
+    """The least overlap of sets of x and y shingles that reach the threshold."""
+    return F.ceil((x + y) * percent / F.lit(100 + percent))
+
+
+def _needed(x, y, percent: int):
+    """How many shingles the prefixes of sets of x and y shingles share at least, if the sets reach the threshold.
+
+    All shingles of the set whose prefix ends first, up to that end, that the other set has too stand in the
+    other's prefix; the others of the overlap stand behind its own.
+    """
+    return F.greatest(F.lit(1), _overlap(x, y, percent) - F.greatest(_rest(x, percent), _rest(y, percent)))
 
 
 def _alike(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +182,7 @@ def _alike(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     left = pairs.join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     both = left.join(groups.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= _common(F.least("na", "nb"))).select("a", "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,16 +206,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     fits = lambda small, large: F.col(small) * 100 >= F.col(large) * percent
     by_list = W.partitionBy("tok").orderBy("n", "gid")
-    lists = groups.select("gid", "n", F.explode("prefix").alias("tok")).select(
-        "tok", "gid", "n", F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"), F.lead("n").over(by_list).alias("n_after"),
-        F.first("gid").over(by_list).alias("head"), F.first("n").over(by_list).alias("n_head"),
+    lists = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok")).select(
+        "tok", "gid", "n", "pos", F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"), F.lead("n").over(by_list).alias("n_after"),
     )
     lists = stored(lists.where((fits("n_before", "n")) | (fits("n", "n_after"))), "lists")
     inside = members.where("node <> gid")
-    # each group with the one that stands before it, or at the head, in most of its lists; a head that many share makes a star
-    offers = F.array(F.when(fits("n_head", "n") & (F.col("head") != F.col("gid")), F.col("head")), F.when(fits("n_before", "n") & (F.col("before") != F.col("head")), F.col("before")))
-    offered = lists.select("gid", "n", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("b"))
-    often = offered.groupBy("gid", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")).where((F.col("times") > 1) | (_common(F.col("n")) == 1))
+    # each group with the one that stands before it, or at the hub, in most of its lists; a hub that many share makes a star
+    listed = lists.groupBy("gid").agg((F.count(F.lit(1)) / F.first("n")).alias("part"))
+    hubs = lists.select("tok", "gid", "n").join(listed, "gid").groupBy("tok").agg(F.max(F.struct("part", "gid", "n")).alias("hub"))
+    met_hub = lists.select("tok", "gid", "n").join(hubs.select("tok", F.col("hub.gid").alias("b"), F.col("hub.n").alias("nb")), "tok")
+    offered = met_hub.select("gid", "n", "b", "nb").union(lists.select("gid", "n", F.col("before"), F.col("n_before"))).where("b <> gid").where(fits("n", "nb") & fits("nb", "n"))
+    often = offered.groupBy("gid", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("nb").alias("nb"))
+    often = often.where((F.col("times") > 1) | (_needed(F.col("n"), F.col("nb"), percent) == 1))
     proposed = often.groupBy("gid").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("least"))).alias("b")).select(F.col("gid").alias("a"), "b")
     pairs = stored(
         _alike(proposed, groups, percent).union(inside.select("node", "gid"))
@@ -211,18 +231,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
     split = stored(labelled.select("gid", "c").distinct(), "split")
     # of two entries in different components, one at least lies outside the list's largest component
-    entries = lists.select("tok", "gid", "n").join(split, "gid")
+    entries = lists.select("tok", "gid", "n", "pos").join(split, "gid")
     largest = entries.groupBy("tok").agg(F.mode("c").alias("big"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok", "big")
-    entries = stored(entries.join(largest, "tok"), "entries")
-    x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "c", "big"))) for s in "xy")
+    # shared: what a set can have in common, up to here, with one of another component
+    entries = stored(entries.join(largest, "tok").withColumn("shared", F.dense_rank().over(W.partitionBy("gid").orderBy("pos"))), "entries")
+    x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "shared", "c", "big"))) for s in "xy")
     x = x.where("c_x <> big_x")
+    most = F.least("shared_x", "shared_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
     across = x.join(y, "tok").where(
         (F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y"))
-        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (most >= _overlap(F.col("n_x"), F.col("n_y"), percent))
     )
     # a pair stands in the list of every shingle that its prefixes share, so its rows are at least as many as those
-    once = across.select(F.greatest("gid_x", "gid_y").alias("gid_x"), F.least("gid_x", "gid_y").alias("gid_y"), F.least("n_x", "n_y").alias("n"))
-    met = once.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")).where(F.col("times") >= _common(F.col("n"))).select("gid_x", "gid_y")
+    once = across.select(F.greatest("gid_x", "gid_y").alias("gid_x"), F.least("gid_x", "gid_y").alias("gid_y"), _needed(F.col("n_x"), F.col("n_y"), percent).alias("needed"))
+    met = once.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("times"), F.first("needed").alias("needed")).where("times >= needed").select("gid_x", "gid_y")
     torn = split.groupBy("gid").agg(F.count(F.lit(1)).alias("cs")).where("cs > 1").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(f"gid_{s}"), F.col("c").alias(f"c_{s}")) for n, s in (("a", "x"), ("b", "y")))
     rest = met.union(torn).join(p, "gid_x").join(q, "gid_y").where("c_x <> c_y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
