@@ -1,11 +1,12 @@
 r"""Personal data: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 Base spans are the leftmost non-overlapping matches of four patterns, kept if their parts are
-valid. The field labels the tokens of windows around digits and at signs, over word-shape
-features, and adds telephone numbers, cards and addresses in other notations; a span that it
-finds is added only where no base span is. It is trained by full-batch gradient steps on
-`labelled_windows`, a small table that a seeded rule writes out, and decoded by Viterbi on
-numpy batches of windows. Tokens outside the windows are never personal data to the field.
+valid. The field labels all tokens of every text, over word-shape features, and adds telephone
+numbers, cards and addresses in other notations; a span that it finds is added only where no
+base span is. It is trained by full-batch gradient steps on `labelled_windows`, a small table
+that a seeded rule writes out. Feature weights are looked up in tables of shapes, and Viterbi
+runs between the tokens that no other labels around them could make personal data (`Decoder`);
+the labels are those of Viterbi over the whole text.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive.
 Repeated rows get equal results; an empty table gives an empty one. Other columns are ignored.
@@ -84,8 +85,10 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 _KEYWORDS = frozenset("phone tel telephone mobile fax call cell card visa mastercard credit ip host server email mail at dot date version order invoice id page isbn section price total".split())
-#: Characters around digits that a window takes in, and the gap over which windows join.
-REACH, GAP = 30, 20
+#: A token and the white space before it.
+_SPACED = re.compile(r"\s*(?:[0-9]+|[^\W\d_]+|[^\s])")
+#: Tokens that a worker remembers, and tokens of padded runs that are decoded at once.
+REMEMBERED, AT_ONCE = 200_000, 100_000
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
@@ -168,6 +171,16 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self._decoder: Decoder | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_decoder": None}
+
+    def decoder(self) -> Decoder:
+        """Its tables, made once in a process."""
+        if self._decoder is None:
+            self._decoder = Decoder(self)
+        return self._decoder
 
     def scores(self, windows: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         """Padded scores (window, place, label), and lengths."""
@@ -263,23 +276,148 @@ def train(table_: list[list[tuple[str, str]]] | None = None, steps: int = 50, ra
     return Field(names, weights.astype(np.float32), moves.astype(np.float32))
 
 
-def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
-    """Tokens around the digits and at signs of a text."""
-    spans: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        if spans and m.start() - spans[-1][1] <= GAP:
-            spans[-1][1] = m.end()
-        else:
-            spans.append([m.start(), m.end()])
-    out = []
-    for start, end in spans:
-        start, end = max(0, start - REACH), min(len(text), end + REACH)
-        while start > 0 and not text[start - 1].isspace() and not text[start].isspace() and text[start - 1].isalpha():
-            start -= 1
-        while end < len(text) and text[end].isalpha() and text[end - 1].isalpha():
-            end += 1
-        out.append(tokens(text, start, end))
-    return [w for w in out if w]
+class Decoder:
+    """A field's labels of whole texts.
+
+    The weights of a token's features are rows of tables, by the shapes of one, two or three
+    neighbours; shapes that the field does not know share one number, whose rows are zero.
+    """
+
+    #: Rows without a token before each text and after the last, as many as a feature looks back.
+    EDGE = 4
+
+    def __init__(self, field: Field):
+        weight = lambda name: field.weights[field.names[name]] if name in field.names else np.zeros(len(LABELS), np.float32)
+        self.moves = field.moves
+        known = ["#", *sorted({n[2:] for n in field.names if n.startswith("-1") and n != "-1#"} | {n[1:] for n in field.names if n[0] in "0123"})]
+        self.shapes = {x: i for i, x in enumerate(dict.fromkeys(known))}
+        self.other = len(self.shapes)
+        self.n = n = self.other + 1
+        zero = np.zeros(len(LABELS), np.float32)
+        one = {j: np.array([weight(f"{j}{x}") for x in self.shapes] + [zero]) for j in range(-3, 4)}
+        two = {k: np.zeros((n, n, len(LABELS)), np.float32) for k in "lr"}
+        three = {k: np.zeros((n, n, n, len(LABELS)), np.float32) for k in "mfp"}
+        for name in field.names:
+            if name[0] in "lrmfp":
+                held = two.get(name[0], three.get(name[0]))
+                held[self._parts(name[1:], held.ndim - 1)] = weight(name)
+        three["m"] += one[-1][:, None, None] + one[0][None, :, None] + one[1][None, None, :] + two["l"][:, :, None] + two["r"][None] + weight("bias")
+        three["f"] += one[2][None, None, :]
+        three["p"] += one[-2][:, None, None]
+        self.single = [(at, one[at]) for at in (-3, 3)]
+        self.triples = [(at, three[k].reshape(n**3, -1)) for at, k in ((-1, "m"), (0, "f"), (-2, "p"))]
+        words = sorted(_KEYWORDS)
+        self.words = {w: i + 1 for i, w in enumerate(words)}
+        self.word_rows = np.array([zero] + [weight(f"k{w}") for w in words])
+        self.memory: dict[str, int] = {}
+        # what the moves before and after a label gain at most over those of O: next to any label, to O, to an end of the text
+        before, after = self.moves - self.moves[:, :1], self.moves - self.moves[:1, :]
+        self.before = np.array([before.max(axis=0), before[0], zero])
+        self.after = np.array([after.T.max(axis=0), after[:, 0], zero])
+
+    def _parts(self, name: str, k: int) -> tuple[int, ...]:
+        """Numbers of the shapes in a feature's name; the sign between them is itself a shape."""
+        out, at = [], 0
+        for i in range(k):
+            if i:
+                at += 1
+            end = at + 1
+            while end < len(name) and not (name[end] == "|" and name[at:end] != "_"):
+                end += 1
+            out.append(self.shapes.get(name[at:end], self.other))
+            at = end
+        return tuple(out)
+
+    def _token(self, spaced: str) -> int:
+        """Number of the keyword, or 0, and of the shape."""
+        token = spaced.lstrip()
+        found = (self.words.get(token.lower(), 0) << 16) + self.shapes.get(("_" if token != spaced else "") + shape(token), self.other)
+        if len(self.memory) < REMEMBERED and len(spaced) < 40:
+            self.memory[spaced] = found
+        return found
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (row, label) of the rows of all texts, and where each text's tokens begin and end."""
+        flat: list[int] = []
+        begins, ends = [], []
+        get, new, edge = self.memory.get, self._token, [0] * self.EDGE
+        for text in texts:
+            flat += edge
+            begins.append(len(flat))
+            own = _SPACED.findall(text)
+            if own:
+                own[0] = own[0].lstrip()
+            flat += [c if (c := get(t)) is not None else new(t) for t in own]
+            ends.append(len(flat))
+        flat += edge
+        both = np.array(flat, np.int32)
+        ids, words = both & 0xFFFF, both >> 16
+        size, n, edge_ = len(ids), self.n, self.EDGE
+        wide = np.zeros(size + 2 * edge_, np.int32)
+        wide[edge_ : edge_ + size] = ids
+        triple = (wide[:-2] * n + wide[1:-1]) * n + wide[2:]
+        out = np.zeros((size, len(LABELS)), np.float32)
+        for at, t in self.triples:
+            out += t.take(triple[edge_ + at : edge_ + at + size], axis=0)
+        for at, t in self.single:
+            out += t.take(wide[edge_ + at : edge_ + at + size], axis=0)
+        for i in np.flatnonzero(words):
+            out[i + 1 : i + 5] += self.word_rows[words[i]]
+        return out, np.array(begins, np.int64), np.array(ends, np.int64)
+
+    def labels(self, texts: list[str]) -> list[np.ndarray]:
+        """The best labels of each text's tokens."""
+        score, begins, ends = self.scores(texts)
+        inside = np.zeros(len(score) + 1, np.int64)
+        np.add.at(inside, begins, 1)
+        np.add.at(inside, ends, -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        # a token whose O leads by more than moves can make up is O on every best path; its neighbours are then held against O alone
+        sure = ~inside
+        most = np.maximum(self.before.max(axis=0) + self.after.max(axis=0), 0)[1:] + 1e-3
+        open_ = np.flatnonzero(inside)
+        for k in range(4):
+            if k:
+                side = lambda near: np.where(~inside[near], 2, np.where(sure[near], 1, 0))
+                most = (self.before[side(open_ - 1)] + self.after[side(open_ + 1)])[:, 1:] + 1e-3
+            own = score[open_]
+            wins = own[:, 0] > (own[:, 1:] + most).max(axis=1)
+            sure[open_[wins]] = True
+            open_ = open_[~wins]
+        path = np.zeros(len(score), np.int8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], sure, [True]]).astype(np.int8)))
+        starts, stops = edges[::2], edges[1::2]
+        order = np.argsort(stops - starts, kind="stable")
+        first = 0
+        while first < len(order):
+            last = first + 1
+            while last < len(order) and (last + 1 - first) * (stops[order[last]] - starts[order[last]]) <= AT_ONCE:
+                last += 1
+            part = order[first:last]
+            self._runs(score, inside, starts[part], stops[part], path)
+            first = last
+        return [path[a:b] for a, b in zip(begins, ends)]
+
+    def _runs(self, score: np.ndarray, inside: np.ndarray, starts: np.ndarray, stops: np.ndarray, path: np.ndarray) -> None:
+        """Viterbi over runs of rows, the shortest first; a token before or after a run is O."""
+        lengths = stops - starts
+        back = np.zeros((int(lengths[-1]), len(starts), len(LABELS)), np.int8)
+        best = score[starts] + np.where(inside[starts - 1, None], self.moves[0], np.float32(0))
+        finals = np.empty_like(best)
+        alive = 0
+        for j in range(len(back)):
+            if j:
+                step = best[alive:, :, None] + self.moves
+                back[j, alive:] = step.argmax(axis=1)
+                best[alive:] = step.max(axis=1) + score[starts[alive:] + j]
+            over = int(np.searchsorted(lengths, j + 1, side="right"))
+            finals[alive:over] = best[alive:over]
+            alive = over
+        label = (finals + np.where(inside[stops, None], self.moves[:, 0], np.float32(0))).argmax(axis=1)
+        for j in range(len(back) - 1, -1, -1):
+            has = int(np.searchsorted(lengths, j, side="right"))
+            path[starts[has:] + j] = label[has:]
+            label[has:] = back[j, np.arange(has, len(starts)), label[has:]]
 
 
 def _valid(kind: str, value: str) -> bool:
@@ -296,15 +434,12 @@ def _valid(kind: str, value: str) -> bool:
 
 def added_spans(texts: list[str], base: list[dict[str, list[Span]]], field: Field) -> list[dict[str, list[Span]]]:
     """What the field finds beside the base spans."""
-    own, windows = [], []
-    for i, text in enumerate(texts):
-        for w in windows_of(text):
-            own.append(i)
-            windows.append(w)
     out: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
-    if not windows:
-        return out
-    for i, w, path in zip(own, windows, field.decode([token_features(w) for w in windows])):
+    for i, path in enumerate(field.decoder().labels(texts)):
+        if not path.any():
+            continue
+        w = tokens(texts[i], 0, len(texts[i]))
+        taken = [s for spans in base[i].values() for s in spans]
         j = 0
         while j < len(path):
             if path[j] == 0:
@@ -315,9 +450,9 @@ def added_spans(texts: list[str], base: list[dict[str, list[Span]]], field: Fiel
             while j < len(path) and path[j] and path[j] % 2 == 0 and KINDS[(path[j] - 1) // 2] == kind:
                 j += 1
             start, end = w[first][1], w[j - 1][2]
-            taken = [s for spans in (*base[i].values(), *out[i].values()) for s in spans]
             if _valid(kind, texts[i][start:end]) and all(end <= a or b <= start for a, b in taken):
                 out[i][kind].append((start, end))
+                taken.append((start, end))
     return out
 
 
@@ -334,10 +469,9 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
         for batch in chunks(batches):
             texts = text_of(batch.column("text")).to_pylist()
             base = [base_spans(t) for t in texts]
-            busy = [i for i, t in enumerate(texts) if _SEED.search(t)]
-            more = dict(zip(busy, added_spans([texts[i] for i in busy], [base[i] for i in busy], shared.value)))
+            more = added_spans(texts, base, shared.value)
             joined = [_joined(b) for b in base]
-            every = [_joined({k: b[k] + more[i][k] for k in KINDS}) if i in more else "" for i, b in enumerate(base)]
+            every = [_joined({k: b[k] + m[k] for k in KINDS}) for b, m in zip(base, more)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([len(b[k]) for b in base], pa.int64()) for k in KINDS), pa.array([hashlib.sha256(j.encode()).hexdigest() if j else none for j in joined]), pa.array(every, pa.string())],
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],

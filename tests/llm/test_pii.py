@@ -72,3 +72,23 @@ def test_odd_rows(spark, field):
     got = P.find_pii(df, field).collect()
     assert sorted((r["doc_id"] or 0, r["spans"]) for r in got) == [(0, ""), (1, ""), (1, ""), (2, ""), (3, "email:0:6")]
     assert P.find_pii(df.limit(0), field).collect() == []
+
+
+def test_texts_without_digits_or_at_signs_are_decoded(spark, field):
+    texts = ["you may mail neru (at) losta (dot) com now", "plain words " * 40 + "then mail neru (at) losta (dot) com now, or not " + "and more words " * 40, "we meet at noon. dot the line"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in P.find_pii(df, field).collect()}
+    at, n = [t.find("neru") for t in texts], len("neru (at) losta (dot) com")
+    assert got == {0: f"email:{at[0]}:{at[0] + n}", 1: f"email:{at[1]}:{at[1] + n}", 2: ""}
+
+
+def test_whole_texts_get_the_labels_of_viterbi(field):
+    import random
+
+    r = random.Random(5)
+    parts = ["|", "_", " ", "a", "1", "(at)", " dot ", "@", ".", "-", "+", "(", ")", "call ", "9999", "#", "\n", "é", "ABC", "312-555-0188 ", "plain words here "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(300)] + ["".join(p for p, _ in w) for w in P.labelled_windows(100, seed=8)]
+    fast = P.Decoder(field).labels(texts)
+    for text, path in zip(texts, fast):
+        own = P.tokens(text, 0, len(text))
+        assert path.tolist() == (field.decode([P.token_features(own)])[0].tolist() if own else [])
