@@ -369,12 +369,16 @@ def last_posts(spark, d):
     return reports.last_posts(p, "e").select("title", "url")
 
 
+#: Levels, and directories below the start, of a crawl that ends only when a level finds nothing.
+UNBOUNDED = 2**31 - 1
+
+
 @query()
 def crawl_snapshot(spark, d):
     """A crawl of the snapshot from its first page, over every level."""
     pages = readers.pages(spark, d)
     start = pages.agg(F.min_by("url", "page_id").alias("url")).first()["url"]
-    return crawl.crawl(spark, pages, CrawlConfig(start_url=start, fetchlevel=4, junkfilter=False)).select("url", "kind", "generation", "priority", "status", "filter_reason")
+    return crawl.crawl(spark, pages, CrawlConfig(start_url=start, fetchlevel=4, junkfilter=False, depth=UNBOUNDED, maxfiles=0), levels=UNBOUNDED).select("url", "kind", "generation", "priority", "status", "filter_reason")
 
 
 @query(f"SELECT CAST(len({_sql(_DIRS)}) AS INTEGER) AS depth, count(*) AS n FROM pages GROUP BY 1")

@@ -176,3 +176,25 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["url"], bytes(r["data"])) for r in spark.sql("SELECT * FROM whole").collect()} == {("a", b"abcdef"), ("b", b"xy")}
+
+
+def deep_snapshot(spark, folder, leaves):
+    """A chain of 15 pages, the first with so many leaves besides; the levels of its URLs, searched by brute force."""
+    links = {f"/c{i:02d}": [f"/c{i + 1:02d}"] for i in range(14)} | {"/c14": []}
+    links["/c00"] += [f"/leaf{i}" for i in range(leaves)]
+    links |= {f"/leaf{i}": ["/c00"] for i in range(leaves)}
+    rows = [(i, f"http://h.example{x}", "".join(f'<a href="{y}">y</a>' for y in ys)) for i, (x, ys) in enumerate(links.items())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    level, at = {"/c00": 0}, ["/c00"]
+    while at:
+        at = [y for x in at for y in links[x] if y not in level and level.setdefault(y, level[x] + 1)]
+    return level
+
+
+def test_crawl_snapshot_goes_over_every_level(spark, tmp_path):
+    from skein.plans.queries import QUERIES
+
+    level = deep_snapshot(spark, str(tmp_path), 5000)
+    got = QUERIES["crawl_snapshot"](spark, str(tmp_path)).collect()
+    assert {r["url"]: r["generation"] for r in got} == {f"http://h.example{x}": k for x, k in level.items()} and len(got) == len(level)
+    assert {(r["status"], r["filter_reason"]) for r in got} == {(0, None)}
