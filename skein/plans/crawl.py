@@ -7,6 +7,7 @@ and compared by canonical form; within a level the first occurrence by (parent,
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import time
 import uuid
@@ -92,12 +93,12 @@ def _whole(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def levels_of(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """Least number of steps from start (node) to each node over edges (source, child)."""
+def levels_of(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Least number of steps from start (node) to each node over edges (source, child); ends when a level is empty."""
     spark = edges.sparkSession
     folder = shared_folder(spark)
     start.select("node").distinct().write.parquet(f"{folder}/level=0")
-    for level in range(1, most + 1):
+    for level in itertools.count(1):
         seen = spark.read.parquet(folder)
         new = seen.where(F.col("level") == level - 1).join(edges, F.col("node") == F.col("source")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new.write.parquet(f"{folder}/level={level}")

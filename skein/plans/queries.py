@@ -327,7 +327,7 @@ SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node""")
 def frontier_levels(spark, d):
     e = _edges(spark, d)
     start = e.groupBy(F.substring_index("source", "/", 1)).agg(F.min("source").alias("node"))
-    return crawl.levels_of(e, start, most=12)
+    return crawl.levels_of(e, start)
 
 
 @query("SELECT sha1(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

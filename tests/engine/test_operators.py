@@ -198,3 +198,11 @@ def test_crawl_snapshot_goes_over_every_level(spark, tmp_path):
     got = QUERIES["crawl_snapshot"](spark, str(tmp_path)).collect()
     assert {r["url"]: r["generation"] for r in got} == {f"http://h.example{x}": k for x, k in level.items()} and len(got) == len(level)
     assert {(r["status"], r["filter_reason"]) for r in got} == {(0, None)}
+
+
+def test_frontier_levels_goes_on_until_a_level_is_empty(spark, tmp_path):
+    from skein.plans.queries import QUERIES
+
+    level = deep_snapshot(spark, str(tmp_path), 2)
+    got = QUERIES["frontier_levels"](spark, str(tmp_path)).collect()
+    assert {r["node"]: r["level"] for r in got} == {f"h.example{x}": k for x, k in level.items()} and len(got) == len(level)
