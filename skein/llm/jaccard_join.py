@@ -10,16 +10,20 @@ them (`_needed`); with longer prefixes and near sizes, that is most of a prefix.
 
 1. Equal sets are one node (least doc_id), and nodes with equal prefix and size one group.
 2. The prefixes of groups meet by shingle. In each list, a group meets the one before it by size
-   and the list's hub, which has the largest part of its prefix in lists and so the least of
-   its own; the one it meets most often is proposed, and in groups of several nodes the least
-   node is. Proposals that share enough of their prefixes are verified exactly on whole
-   sets, and the links give first components.
-3. All pairs of a list that lie in different components, pass the bounds of length and position
-   and share enough of their prefixes are expanded to the groups' nodes and verified too. The
-   bound of position: what two sets share before a common shingle stands in both prefixes, and
-   so in lists that lie in several components. A pair left out is thus
-   either connected already or cannot reach the threshold, so no component is lost, while the
-   pairs of a large group of near copies are never written out.
+   and the list's hub, which has the fewest prefix shingles that no other group has; the one it
+   meets most often is proposed, and in groups of several nodes the least node is. Proposals that
+   share enough of their prefixes are verified on whole sets, and the links give first components.
+3. While lists of over `LONG_LIST` entries lie in several components, the entries outside the
+   largest one meet a hub of it in further star rounds.
+4. What lies in different components even then is compared: an entry meets another if theirs can
+   be the first common shingle of sets that link, by their sizes and both positions; so a pair
+   meets about once, and in long lists only within the bands of size that a position leaves. Pairs
+   that share enough of their prefixes are expanded to the groups' nodes and verified. A pair left
+   out is either connected already or cannot reach the threshold, so no component is lost, while
+   the pairs of a large group of near copies are never written out.
+
+Shingles are compared as 58 bits of a hash, and whole sets by the number of those that both have:
+two shingles of one comparison that collide, at one in 10^17 a pair of them, would count as one.
 
 Defined results: null, empty and blank texts have size 0 and their own doc_id as component.
 A text of under k words is one shingle. Rows that share a doc_id are one document. A null
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +43,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.llm.components import connected_components
-from skein.llm.shared import Words, chunks, mix, shingles, stored, table
+from skein.llm.shared import Words, chunks, mix, remove, shingles, stored, table
 
 #: The count sketch has about one bucket for 200 bytes of text, within these powers of two; it is broadcast, a byte a bucket.
 SKETCH_BITS = (16, 24)
 CHUNK_BITS = 16
-#: Bits of the filter that spares documents without a candidate the third pass.
-FILTER_BITS = 24
+#: Ids of documents to compare that are broadcast at most (8 bytes each), and bits of the filter that stands for more of them.
+BROADCAST_IDS = 1_000_000
+FILTER_BITS = 28
+#: Entries of one list that a task gets at most, about.
+HOT_ENTRIES = 1 << 20
+#: A list of more entries is compared by bands of size, each BAND times as wide as the one before, and gets further star rounds first.
+LONG_LIST = 128
+BAND = 1.04
+#: Star rounds after the first, at most; what they leave is compared in any case.
+STAR_ROUNDS = 3
 #: A prefix is longer than it needs to be for one common shingle, by one in so many of the set.
 EXTRA = 20
 
@@ -72,16 +85,25 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h + np.uint64(3)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    """Class of each bucket of the count sketch over all shingles of docs, in half standard deviations from four below the mean, and the sketch's bits."""
+def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int, float]:
+    """Class of each bucket of the count sketch over all shingles of docs, in half standard deviations from four below the mean, the sketch's bits, and its mean.
+
+    A byte a bucket comes to the driver and is broadcast: 16 MB at most.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(int(size // 200).bit_length(), *SKETCH_BITS))
     n_chunks = 1 << (bits - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total, held, n = np.zeros(1 << bits, np.uint32), [], 0
         for batch in chunks(batches):
-            np.add.at(total, _bucket(_sets(batch, k)[0], bits), np.uint32(1))
+            held.append(_bucket(_sets(batch, k)[0], bits))
+            n += len(held[-1])
+            if n >= 1 << bits:
+                total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
         for i, part in enumerate(np.split(total, n_chunks)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
@@ -93,15 +115,30 @@ def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
                 own = np.frombuffer(zlib.decompress(packed), np.uint32)
                 total[i] = total.get(i, 0) + own.astype(np.int64)
         for i, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([int(part.sum())], pa.int64())], ["chunk", "counts", "n"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
-    counts = {i: np.frombuffer(c, np.int64) for i, c in zip(parts.column("chunk").to_pylist(), parts.column("counts").to_pylist())}
-    mean = max(sum(int(c.sum()) for c in counts.values()) / (1 << bits), 1.0)
+    parts = stored(docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary, n long"), "sketch")
+    mean = max((parts.agg(F.sum("n")).first()[0] or 0) / (1 << bits), 1.0)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                c = np.frombuffer(packed, np.int64)
+                own = np.clip(np.floor((c - mean) / np.sqrt(mean) * 2) + 8, 0, 48) + np.clip(np.floor(np.log2(np.maximum(c / mean, 1))), 0, 15)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "ranks"])
+
+    got = parts.select("chunk", "counts").mapInArrow(classes, "chunk int, ranks binary").toArrow()
     ranks = np.zeros(1 << bits, np.uint8)
-    for i, c in counts.items():
-        ranks[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] = np.clip(np.floor((c - mean) / np.sqrt(mean) * 2) + 8, 0, 48) + np.clip(np.floor(np.log2(np.maximum(c / mean, 1))), 0, 15)
-    return ranks, bits
+    for i, c in zip(got.column("chunk").to_pylist(), got.column("ranks").to_pylist()):
+        ranks[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] = np.frombuffer(c, np.uint8)
+    remove(parts)
+    return ranks, bits, mean
+
+
+def _most_entries(tok, mean: float):
+    """How many entries a list can have at most, by the class in a key's upper six bits."""
+    above = F.greatest(F.shiftrightunsigned(tok, 58).cast("int") - 48, F.lit(0))
+    return F.greatest(F.pow(F.lit(2.0), above + 1) * mean, F.lit(mean + 20 * mean**0.5))
 
 
 def signatures(docs: DataFrame, ranks: np.ndarray, bits: int, k: int, percent: int) -> DataFrame:
@@ -137,25 +174,38 @@ _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and its set, for the documents in wanted (node) and the few that share a filter bit with one."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    words = wanted.select(bit("node").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
-    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """node and its set, for the documents in wanted (node), and for few others where those are many.
+
+    Few wanted ids are broadcast, so that other texts never leave the JVM; of more a filter of
+    16 bits an id is, so long as it fits FILTER_BITS; of yet more nothing is, and all sets are made.
+    """
+    n = wanted.count()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
+    bits = max(16, (16 * n).bit_length())
+    marks = None
+    if n <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted), "node", "left_semi")
+    elif bits <= FILTER_BITS:
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+        words = wanted.select(place("node").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
+        marks = np.zeros((1 << bits) // 64, np.int64)
+        marks[words.column("w").to_numpy()] = words.column("m").to_numpy()
+        texts = texts.withColumn("b", place("node"))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = batch.column("b").to_numpy()
-            batch = batch.filter(pa.array(((shared.value[b >> 6] >> (b & 63)) & 1) == 1)).select(["node", "text"])
+            if shared.value is not None:
+                b = batch.column("b").to_numpy()
+                batch = batch.filter(pa.array(((shared.value[b >> 6] >> (b & 63)) & 1) == 1)).select(["node", "text"])
             for part in chunks(iter([batch])):
                 h, at = _sets(part, k)
                 own = [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(part.num_rows)]
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], ["node", "s"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("node"), "text", bit("doc_id").alias("b")).where("node IS NOT NULL").mapInArrow(run, f"node {kind}, s array<long>")
+    return texts.mapInArrow(run, f"node {kind}, s array<long>")
 
 
 def _rest(n, percent: int):
@@ -177,12 +227,11 @@ def _needed(x, y, percent: int):
     return F.greatest(F.lit(1), _overlap(x, y, percent) - F.greatest(_rest(x, percent), _rest(y, percent)))
 
 
-def _alike(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs of groups (a, b) whose prefixes share as much as a link needs."""
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    left = pairs.join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+def _alike(pairs: DataFrame, groups: DataFrame, percent: int, *more: str) -> DataFrame:
+    """The pairs of groups (a, b), and more columns of theirs, whose prefixes share as much as a link needs."""
+    left = pairs.where("a <> b").join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     both = left.join(groups.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", *more)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,65 +243,146 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.where(shared * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    ranks, bits = rank_table(docs, k)
-    signed = stored(signatures(docs, ranks, bits, k, percent), "signatures")
+def _grouped(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of signatures: nodes (equal sets), groups (equal prefix and size) and members (node, gid)."""
     sized = signed.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(sized.groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("doc_id").alias("node")), "nodes")
     groups = stored(sized.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups")
     members = stored(nodes.join(groups.select("n", "p1", "p2", "gid"), ["n", "p1", "p2"]).select("node", "gid"), "members")
+    return nodes, groups, members
+
+
+def _fits(small: str, large: str, percent: int):
+    return F.col(small) * 100 >= F.col(large) * percent
+
+
+def prefix_lists(groups: DataFrame, percent: int, mean: float) -> DataFrame:
+    """tok, gid, n, pos, and the entry before by size (before, n_before), of lists in which another entry's size fits.
 
-    fits = lambda small, large: F.col(small) * 100 >= F.col(large) * percent
-    by_list = W.partitionBy("tok").orderBy("n", "gid")
-    lists = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok")).select(
-        "tok", "gid", "n", "pos", F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"), F.lead("n").over(by_list).alias("n_after"),
+    A list that may be hot is dealt over several tasks by gid; all its entries stay.
+    """
+    parts = F.ceil(_most_entries(F.col("tok"), mean) / HOT_ENTRIES).cast("int")
+    entries = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok")).withColumn("parts", parts)
+    by_list = W.partitionBy("tok", "part").orderBy("n", "gid")
+    near = entries.withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts"))).select(
+        "tok", "gid", "n", "pos", "parts", F.lag("gid").over(by_list).alias("before"), F.lag("n").over(by_list).alias("n_before"), F.lead("n").over(by_list).alias("n_after"),
     )
-    lists = stored(lists.where((fits("n_before", "n")) | (fits("n", "n_after"))), "lists")
-    inside = members.where("node <> gid")
-    # each group with the one that stands before it, or at the hub, in most of its lists; a hub that many share makes a star
-    listed = lists.groupBy("gid").agg((F.count(F.lit(1)) / F.first("n")).alias("part"))
-    hubs = lists.select("tok", "gid", "n").join(listed, "gid").groupBy("tok").agg(F.max(F.struct("part", "gid", "n")).alias("hub"))
-    met_hub = lists.select("tok", "gid", "n").join(hubs.select("tok", F.col("hub.gid").alias("b"), F.col("hub.n").alias("nb")), "tok")
-    offered = met_hub.select("gid", "n", "b", "nb").union(lists.select("gid", "n", F.col("before"), F.col("n_before"))).where("b <> gid").where(fits("n", "nb") & fits("nb", "n"))
+    return near.where((F.col("parts") > 1) | _fits("n_before", "n", percent) | _fits("n", "n_after", percent)).drop("parts", "n_after")
+
+
+def _first_proposals(lists: DataFrame, percent: int) -> DataFrame:
+    """Each group with the one that stands before it, or at the hub, in most of its lists; a hub that many share makes a star.
+
+    A list's hub has the fewest prefix shingles of its own, and of such groups the largest set.
+    """
+    size = lists.groupBy("gid").agg((F.first("n") - _rest(F.first("n"), percent) - F.count(F.lit(1))).alias("own"))
+    hubs = lists.join(size, "gid").groupBy("tok").agg(F.min(F.struct("own", (-F.col("n")).alias("less"), "gid")).alias("hub"))
+    met_hub = lists.select("tok", "gid", "n").join(hubs.select("tok", F.col("hub.gid").alias("b"), (-F.col("hub.less")).alias("nb")), "tok")
+    offered = met_hub.select("gid", "n", "b", "nb").union(lists.select("gid", "n", "before", "n_before")).where("b <> gid").where(_fits("n", "nb", percent) & _fits("nb", "n", percent))
     often = offered.groupBy("gid", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("nb").alias("nb"))
     often = often.where((F.col("times") > 1) | (_needed(F.col("n"), F.col("nb"), percent) == 1))
-    proposed = often.groupBy("gid").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("least"))).alias("b")).select(F.col("gid").alias("a"), "b")
-    pairs = stored(
-        _alike(proposed, groups, percent).union(inside.select("node", "gid"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-        "pairs",
-    )
-    links = stored(_verified(pairs, docs, k, percent), "links")
-    components = connected_components(links)
+    return often.groupBy("gid").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("least"))).alias("b")).select(F.col("gid").alias("a"), "b")
 
-    # what is left: lists and groups whose nodes lie in different components
-    labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
-    split = stored(labelled.select("gid", "c").distinct(), "split")
-    # of two entries in different components, one at least lies outside the list's largest component
+
+def _split_lists(lists: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Entries of lists that lie in several components: tok, gid, n, pos, c, node (the least of the group in c), big (the list's largest component), m (its entries)."""
+    split = labelled.groupBy("gid", "c").agg(F.min("node").alias("node"))
     entries = lists.select("tok", "gid", "n", "pos").join(split, "gid")
-    largest = entries.groupBy("tok").agg(F.mode("c").alias("big"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok", "big")
-    # shared: what a set can have in common, up to here, with one of another component
-    entries = stored(entries.join(largest, "tok").withColumn("shared", F.dense_rank().over(W.partitionBy("gid").orderBy("pos"))), "entries")
-    x, y = (entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "shared", "c", "big"))) for s in "xy")
-    x = x.where("c_x <> big_x")
-    most = F.least("shared_x", "shared_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    across = x.join(y, "tok").where(
-        (F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y"))
-        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (most >= _overlap(F.col("n_x"), F.col("n_y"), percent))
+    largest = entries.groupBy("tok").agg(F.mode("c").alias("big"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("tok", "big", "m")
+    return entries.join(largest, "tok")
+
+
+def _reach(n, pos, percent: int):
+    """The most shingles that a set may have for one of n with `pos` shingles before the first common one to link with it: overlap <= n - pos."""
+    return F.floor((n - pos) * F.lit(100 + percent) / F.lit(percent)) - n
+
+
+def _possible(x: str, y: str, percent: int):
+    """Whether the entries x and y can be the first common shingle of sets that link: bounds of length and of both positions."""
+    c = lambda name, s: F.col(f"{name}_{s}")
+    overlap = _overlap(c("n", x), c("n", y), percent)
+    return (
+        (F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * percent)
+        & (c("pos", x) <= c("n", x) - overlap) & (c("pos", y) <= c("n", y) - overlap)
     )
-    # a pair stands in the list of every shingle that its prefixes share, so its rows are at least as many as those
-    once = across.select(F.greatest("gid_x", "gid_y").alias("gid_x"), F.least("gid_x", "gid_y").alias("gid_y"), _needed(F.col("n_x"), F.col("n_y"), percent).alias("needed"))
-    met = once.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("times"), F.first("needed").alias("needed")).where("times >= needed").select("gid_x", "gid_y")
-    torn = split.groupBy("gid").agg(F.count(F.lit(1)).alias("cs")).where("cs > 1").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
-    p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(f"gid_{s}"), F.col("c").alias(f"c_{s}")) for n, s in (("a", "x"), ("b", "y")))
-    rest = met.union(torn).join(p, "gid_x").join(q, "gid_y").where("c_x <> c_y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(rest, "rest")
-    if rest.head(1):
-        more = stored(_verified(rest, docs, k, percent), "links")
-        if more.head(1):
-            components = connected_components(links.union(more))
+
+
+def _sides(entries: DataFrame, *columns: str) -> list[DataFrame]:
+    return [entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c", *columns))) for s in "xy"]
+
+
+def _further_proposals(entries: DataFrame, percent: int) -> DataFrame:
+    """Of long lists, each group outside the largest component with the hub it could link with in most lists: a (gid), b (gid), node_a, node_b.
+
+    The hub is the group of the largest component with the fewest shingles before the list's.
+    """
+    long = entries.where(F.col("m") > LONG_LIST)
+    hub = long.where("c = big").groupBy("tok").agg(F.min(F.struct("pos", (-F.col("n")).alias("less"), "gid", "n", "node")).alias("h"))
+    hub = hub.select("tok", *(F.col(f"h.{c}").alias(f"{c}_y") for c in ("gid", "n", "pos", "node")))
+    x = _sides(long.where("c <> big"), "node")[0]
+    met = x.join(hub, "tok").where((F.col("gid_x") != F.col("gid_y")) & _possible("x", "y", percent))
+    often = met.groupBy("gid_x", "c_x", "gid_y").agg(F.count(F.lit(1)).alias("times"), F.first("node_x").alias("node_x"), F.first("node_y").alias("node_y"))
+    best = often.groupBy("gid_x", "c_x").agg(F.max(F.struct("times", (-F.col("gid_y")).alias("least"), "gid_y", "node_x", "node_y")).alias("p"))
+    return best.select(F.col("gid_x").alias("a"), F.col("p.gid_y").alias("b"), F.col("p.node_x").alias("node_a"), F.col("p.node_y").alias("node_b"))
+
+
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs of groups (a, b) in different components that have an entry which can be their first common shingle.
+
+    Of two entries in different components, one at least lies outside the list's largest
+    component. In long lists those meet only the bands of size that their position leaves.
+    """
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    own = F.when(F.col("m") > LONG_LIST, band(F.col("n"))).otherwise(F.lit(-1))
+    x, y = _sides(entries.withColumn("band", own), "big", "band")
+    most = F.least(_reach(F.col("n_x"), F.col("pos_x"), percent), F.floor(F.col("n_x") * 100 / F.lit(percent)))
+    least = F.ceil(F.col("n_x") * percent / F.lit(100))
+    bands = F.when(F.col("band_x") < 0, F.array(F.lit(-1))).when(most >= least, F.sequence(band(least), band(F.greatest(most, least)))).otherwise(F.array().cast("array<int>"))
+    x = x.where("c_x <> big_x").withColumn("band", F.explode(bands)).drop("band_x")
+    y = y.withColumnRenamed("band_y", "band")
+    met = x.join(y, ["tok", "band"]).where(
+        (F.col("c_x") != F.col("c_y")) & ((F.col("c_x") < F.col("c_y")) | (F.col("c_y") == F.col("big_y"))) & (F.col("gid_x") != F.col("gid_y")) & _possible("x", "y", percent)
+    )
+    return met.select(F.greatest("gid_x", "gid_y").alias("a"), F.least("gid_x", "gid_y").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    ranks, bits, mean = rank_table(docs, k)
+    signed = stored(signatures(docs, ranks, bits, k, percent), "signatures")
+    nodes, groups, members = _grouped(signed)
+    lists = stored(prefix_lists(groups, percent, mean), "lists")
+
+    # first star round: hubs and neighbours of lists, and the nodes of each group with its least one
+    proposed = _alike(_first_proposals(lists, percent), groups, percent).union(members.where("node <> gid").select("node", "gid"))
+    pairs = [stored(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")]
+    links = [stored(_verified(pairs[0], docs, k, percent), "links")]
+    tried = lambda: reduce(DataFrame.union, pairs)
+    for left in range(STAR_ROUNDS, -1, -1):
+        components = connected_components(reduce(DataFrame.union, links))
+        labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
+        entries = stored(_split_lists(lists, labelled), "entries")
+        if not left or not entries.where(F.col("m") > LONG_LIST).head(1):
+            break
+        further = _alike(_further_proposals(entries, percent), groups, percent, "node_a", "node_b")
+        pairs.append(stored(further.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct().join(tried(), ["a", "b"], "left_anti"), "pairs"))
+        links.append(stored(_verified(pairs[-1], docs, k, percent), "links"))
+        if not links[-1].head(1):
+            break
+        remove(labelled, entries)
+
+    # what is left: lists and groups whose nodes lie in different components
+    met = _alike(_across(entries, percent), groups, percent)
+    torn = labelled.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(g), F.col("c").alias(f"c_{n}")) for n, g in (("node_a", "a"), ("node_b", "b")))
+    rest = met.union(torn).join(p, "a").join(q, "b").where("c_node_a <> c_node_b").select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    pairs.append(stored(rest.join(tried(), ["a", "b"], "left_anti"), "rest"))
+    if pairs[-1].head(1):
+        links.append(stored(_verified(pairs[-1], docs, k, percent), "links"))
+        if links[-1].head(1):
+            components = connected_components(reduce(DataFrame.union, links))
+    remove(groups, members, lists, labelled, entries, *pairs, *links)
 
     of_node = nodes.select("n", "h1", "h2", "node").join(components, "node", "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component"))
     of_document = signed.select("doc_id", "n", "h1", "h2").join(of_node, ["n", "h1", "h2"], "left")
