@@ -6,6 +6,8 @@ their hashes are numpy operations over whole batches, without a Python object fo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -79,8 +81,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Gives memory that a task no longer holds back to the system: workers live on beside the tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about `most` bytes of text, however many rows Spark put in one."""
+    """The batches cut so that each has about `most` bytes of text, however many rows Spark put in one; at their end memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,6 +101,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    del batches
+    release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
