@@ -155,40 +155,61 @@ def encode_section(documents: list[np.ndarray], lanes: int = LANES, block_ids: i
     return b"".join([head, symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), *heads, lengths.astype("<u8").tobytes(), *bodies])
 
 
+class Section:
+    """A section's tables and the places of its runs, each of which decodes from its checkpoint alone."""
+
+    def __init__(self, section: bytes):
+        magic, version, _, self.lanes, self.every, n_docs, n_blocks, n_symbols = _HEAD.unpack_from(section)
+        if magic != b"SKRA" or version != 1:
+            raise ValueError("not a section of token ids")
+        at = _HEAD.size
+        self.coder = Coder(np.frombuffer(section, "<u4", n_symbols, at), np.frombuffer(section, "<u4", n_symbols, at + 4 * n_symbols))
+        self.lookup = self.coder.table()
+        at += 8 * n_symbols
+        heads = [_BLOCK.unpack_from(section, at + i * _BLOCK.size) for i in range(n_blocks)]
+        at += n_blocks * _BLOCK.size
+        self.lengths = np.frombuffer(section, "<u8", n_docs, at).astype(np.int64)
+        at += 8 * n_docs
+        self.blocks = []  # documents, ids, crc32, and of each run the checksum, states, words and number of ids
+        for docs, n, n_words, n_marks, crc in heads:
+            marks = []
+            for _ in range(n_marks):
+                word, sum_ = struct.unpack_from("<QI", section, at)
+                marks.append((word, sum_, np.frombuffer(section, "<u8", self.lanes, at + 12)))
+                at += 12 + 8 * self.lanes
+            words = np.frombuffer(section, "<u4", n_words, at)
+            at += 4 * n_words
+            ends = [m[0] for m in marks[1:]] + [n_words]
+            most = self.every * self.lanes
+            self.blocks.append((docs, n, crc, [(sum_, states, words[word:end], min(most, n - i * most)) for i, ((word, sum_, states), end) in enumerate(zip(marks, ends))]))
+
+    def run(self, block: int, run: int) -> np.ndarray:
+        """The ids of one run; raises ValueError where its words' checksum differs."""
+        sum_, states, words, n = self.blocks[block][3][run]
+        if zlib.crc32(words.tobytes()) != sum_:
+            raise ValueError("a run of words is damaged")
+        return self.coder.decode(states, words, n, self.lookup)
+
+    def span(self, first: int, last: int) -> np.ndarray:
+        """The ids at places [first, last) of the section, from the runs that hold them alone."""
+        out, at = [np.zeros(0, np.uint32)], 0
+        for block, (_, n, _, runs) in enumerate(self.blocks):
+            for run, (_, _, _, own) in enumerate(runs):
+                if first < at + own and at < last:
+                    out.append(self.run(block, run)[max(first - at, 0) : last - at])
+                at += own
+        return np.concatenate(out)
+
+
 def decode_section(section: bytes) -> list[np.ndarray]:
     """The documents of a section; raises ValueError where a checksum differs."""
-    magic, version, _, lanes, every, n_docs, n_blocks, n_symbols = _HEAD.unpack_from(section)
-    if magic != b"SKRA" or version != 1:
-        raise ValueError("not a section of token ids")
-    at = _HEAD.size
-    symbols = np.frombuffer(section, "<u4", n_symbols, at)
-    freq = np.frombuffer(section, "<u4", n_symbols, at + 4 * n_symbols)
-    at += 8 * n_symbols
-    blocks = [_BLOCK.unpack_from(section, at + i * _BLOCK.size) for i in range(n_blocks)]
-    at += n_blocks * _BLOCK.size
-    lengths = np.frombuffer(section, "<u8", n_docs, at).astype(np.int64)
-    at += 8 * n_docs
-    coder = Coder(symbols, freq)
-    lookup = coder.table()
+    made = Section(section)
     out, doc = [], 0
-    for docs, n, n_words, n_marks, crc in blocks:
-        marks = []
-        for _ in range(n_marks):
-            word, sum_ = struct.unpack_from("<QI", section, at)
-            marks.append((word, sum_, np.frombuffer(section, "<u8", lanes, at + 12)))
-            at += 12 + 8 * lanes
-        words = np.frombuffer(section, "<u4", n_words, at)
-        at += 4 * n_words
-        runs = []
-        for i, (word, sum_, states) in enumerate(marks):
-            own = words[word : marks[i + 1][0] if i + 1 < n_marks else n_words]
-            if zlib.crc32(own.tobytes()) != sum_:
-                raise ValueError("a run of words is damaged")
-            runs.append(coder.decode(states, own, min(every * lanes, n - i * every * lanes), lookup))
-        ids = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
+    for block, (docs, _, crc, runs) in enumerate(made.blocks):
+        ids = np.concatenate([made.run(block, i) for i in range(len(runs))]) if runs else np.zeros(0, np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("a block is damaged")
-        out += np.split(ids, np.cumsum(lengths[doc : doc + docs])[:-1]) if docs else []
+        out += np.split(ids, np.cumsum(made.lengths[doc : doc + docs])[:-1]) if docs else []
         doc += docs
     return out
 
@@ -199,6 +220,15 @@ _NEAR = re.compile(r"[\s\x00-\x1f][\s\x00-\x1f]")
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+#: Signs that the pattern cuts off a word, where one alone ends it.
+_ENDS = ".,;:!?"
+
+
+def _letters(text: str) -> bool:
+    """Whether text is letters alone, of those that every version of Unicode knows as such."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from U+0100 on, in order."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -233,6 +263,7 @@ class Encoder:
         self.special = [t["content"] for t in made.get("added_tokens") or []]
         self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.quick = self.plain and not any(_letters(s.rstrip(_ENDS)) for s in self.special)
 
     @classmethod
     def of(cls, path: str, most: int) -> Encoder:
@@ -260,6 +291,13 @@ class Encoder:
         return got
 
     def _word(self, word: str) -> bytes:
+        if self.quick and word[:1] == " ":
+            own = word[1:]
+            if _letters(own):  # the pattern has one piece for it
+                return self._ids(word)
+            if own and own[-1] in _ENDS and _letters(own[:-1]):  # and two for this
+                head = self.spaced.get(own[:-1])
+                return (self._ids(word[:-1]) if head is None else head) + self._piece(own[-1])
         if not self.plain or any(s in word for s in self.special):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         pieces = self.pattern.findall(word)

@@ -1,4 +1,5 @@
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,27 @@ def test_sections_round_trip(lanes, block):
     assert len(back) == len(docs) and all((a == b).all() for a, b in zip(back, docs))
 
 
+def test_runs_decode_from_their_checkpoints_in_any_order():
+    r = np.random.default_rng(1)
+    docs = [np.minimum(r.zipf(1.3, size=int(n)), 50000).astype(np.uint32) for n in r.integers(0, 9000, 30)]
+    section = T.encode_section(docs, 16, 20_000)
+    made, whole = T.Section(section), np.concatenate(docs)
+    places = [(b, i) for b, block in enumerate(made.blocks) for i in range(len(block[3]))]
+    assert len(places) > 60
+    with ThreadPoolExecutor(4) as pool:  # each from its own checkpoint, the last first
+        runs = dict(zip(places[::-1], pool.map(lambda p: T.Section(section).run(*p), places[::-1])))
+    assert (np.concatenate([runs[p] for p in places]) == whole).all()
+    for first, last in ((0, 1), (5, 5), (2047, 2049), (30_001, 71_234), (len(whole) - 3, len(whole) + 9)):
+        assert (made.span(first, last) == whole[first:last]).all()
+
+
+def test_words_take_their_ids_from_the_library():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["plain words, and some. More: x? 'tis I'll ab1 c_d é, naïve; ÿ. ŉa ɐb, ǅ", ",. a", " lead", "Trail ", "ª. º", "a\u0345b, \u00aa", "the, the. thethe"]
+    t = Tokenizer.from_file(path)
+    assert [list(x) for x in T.Encoder(path).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_a_damaged_section_is_noticed():
     section = bytearray(T.encode_section([np.arange(5000, dtype=np.uint32)], 16, 100))
     section[-3] ^= 1
