@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import NOT_ALNUM, Words, chunks, shingles, table
+from skein.llm.shared import NOT_ALNUM, Words, chunks, mapped, shingles, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -137,7 +137,7 @@ def shingle_counts(docs: DataFrame, block: list[Index]) -> dict[int, int]:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(shared.value[k][some].view(np.int64)), pa.array(n[some])], ["gram", "n"])
 
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(got.column("gram").to_pylist(), got.column("n").to_pylist()))
 
 
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(docs, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             yield batch.filter(pa.array(hits(batch.column("text"), blocks)[1] == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.llm.components import connected_components
-from skein.llm.shared import Words, chunks, mix, remove, shingles, stored, table
+from skein.llm.shared import Words, chunks, mapped, mix, remove, shingles, stored, table
 
 #: The count sketch has about one bucket for 200 bytes of text, within these powers of two; it is broadcast, a byte a bucket.
 SKETCH_BITS = (16, 24)
@@ -117,7 +117,7 @@ def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int, float]:
         for i, part in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([int(part.sum())], pa.int64())], ["chunk", "counts", "n"])
 
-    parts = stored(docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary, n long"), "sketch")
+    parts = stored(mapped(mapped(docs.select("text"), count, "chunk int, counts binary").repartition("chunk"), add, "chunk int, counts binary, n long"), "sketch")
     mean = max((parts.agg(F.sum("n")).first()[0] or 0) / (1 << bits), 1.0)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int, float]:
                 own = np.clip(np.floor((c - mean) / np.sqrt(mean) * 2) + 8, 0, 48) + np.clip(np.floor(np.log2(np.maximum(c / mean, 1))), 0, 15)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "ranks"])
 
-    got = parts.select("chunk", "counts").mapInArrow(classes, "chunk int, ranks binary").toArrow()
+    got = mapped(parts.select("chunk", "counts"), classes, "chunk int, ranks binary").toArrow()
     ranks = np.zeros(1 << bits, np.uint8)
     for i, c in zip(got.column("chunk").to_pylist(), got.column("ranks").to_pylist()):
         ranks[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] = np.frombuffer(c, np.uint8)
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame, ranks: np.ndarray, bits: int, k: int, percent: i
                 ["doc_id", "n", "h1", "h2", "p1", "p2", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>")
 
 
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -205,7 +205,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], ["node", "s"])
 
-    return texts.mapInArrow(run, f"node {kind}, s array<long>")
+    return mapped(texts, run, f"node {kind}, s array<long>")
 
 
 def _rest(n, percent: int):

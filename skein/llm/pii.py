@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.shared import chunks, table, text_of
+from skein.llm.shared import chunks, mapped, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -478,7 +478,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import Words, chunks, mix, per_text, raw, shingles, span_hashes, table, text_of
+from skein.llm.shared import Words, chunks, mapped, mix, per_text, raw, shingles, span_hashes, table, text_of
 
 #: Rows that the planner times; it bounds the driver's part whatever the corpus holds.
 SAMPLE_ROWS = 512
@@ -207,7 +207,7 @@ def score_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(base[n], pa.int64()) for n in names), pa.array(failed), pa.array(kept)], ["doc_id", *names, "base_failed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import chunks, table, text_of
+from skein.llm.shared import chunks, mapped, table, text_of
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TREES, DEPTH, MIN_LEAF = 40, 7, 3
@@ -194,7 +194,7 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(digests), pa.array(score), pa.array(score >= threshold)], ["doc_id", "start", "end", "value_sha256", "score", "secret"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "path", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, value_sha256 string, score double, secret boolean")
+    return mapped(docs.select("doc_id", "path", "text"), run, f"doc_id {kind}, start long, end long, value_sha256 string, score double, secret boolean")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a worker turns into arrays at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a worker, in place of Spark's default; one longer row makes a batch of its own.
+BATCH_BYTES, SPARKS_BATCH = str(8 << 20), "67108864b"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,6 +66,14 @@ def remove(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, in batches of at most BATCH_BYTES unless the session has set another limit than Spark's."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, SPARKS_BATCH) == SPARKS_BATCH:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def text_of(column: pa.Array) -> pa.Array:
     """The column without nulls (null: empty text)."""
     if isinstance(column, pa.ChunkedArray):

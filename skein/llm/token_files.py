@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import chunks, stored, table, text_of
+from skein.llm.shared import chunks, mapped, stored, table, text_of
 
 SCALE_BITS = 20
 LANES = 1024
@@ -360,7 +360,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, mos
         if held:
             yield close()
 
-    return stored(dealt.mapInArrow(run, "shard int, part int, first long, n_tokens long, doc_ids array<long>, section binary"), "tokens")
+    return stored(mapped(dealt, run, "shard int, part int, first long, n_tokens long, doc_ids array<long>, section binary"), "tokens")
 
 
 def _rank(column, bounds: list[int]):
@@ -390,7 +390,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in documents]
                 yield pa.RecordBatch.from_arrays([one["doc_ids"].values, pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "first", "doc_ids", "section").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(files.select("shard", "first", "doc_ids", "section"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:

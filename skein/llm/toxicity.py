@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import NOT_ALNUM, Words, chunks, mix, remove, shingles, stored, table
+from skein.llm.shared import NOT_ALNUM, Words, chunks, mapped, mix, remove, shingles, stored, table
 
 #: Labelled rows that are learnt from at most; they are the only bounded sample here.
 TRAIN_ROWS = 16_000
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             own = distinct_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("tie"), batch.column("toxic"), pa.array([x.tobytes() for x in own], pa.binary())], ["turn", "tie", "toxic", "f"])
 
-    made = stored(texts.mapInArrow(run, "turn long, tie long, toxic int, f binary"), "features")
+    made = stored(mapped(texts, run, "turn long, tie long, toxic int, f binary"), "features")
     in_order = made.orderBy("turn", "tie").select("toxic", "f")
     model = fit(lambda: ((np.frombuffer(r["f"], np.int32), r["toxic"]) for r in islice(in_order.toLocalIterator(prefetchPartitions=True), rows)))
     remove(made)
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,7 +147,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in chunks(batches):
             yield batch.filter(pa.array(shared.value.scores(batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
