@@ -6,7 +6,8 @@ numbers, cards and addresses in other notations; a span that it finds is added o
 base span is. It is trained by full-batch gradient steps on `labelled_windows`, a small table
 that a seeded rule writes out. Feature weights are looked up in tables of shapes, and Viterbi
 runs between the tokens that no other labels around them could make personal data (`Decoder`);
-the labels are those of Viterbi over the whole text.
+the labels are those of Viterbi over the whole text. A text of over `WINDOW` characters is decoded
+in windows that overlap and end where no run of labels can stand, so memory does not grow with it.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive.
 Repeated rows get equal results; an empty table gives an empty one. Other columns are ignored.
@@ -14,10 +15,13 @@ Repeated rows get equal results; an empty table gives an empty one. Other column
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +74,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     if not _SEED.search(text):
         return out
     out["email"] = emails(text)
-    out["ip"] = [m.span() for m in _IP.finditer(text) if all(int(p) <= 255 for p in m.group().split(".") if len(p.lstrip("0")) < 4) and all(len(p.lstrip("0")) < 4 for p in m.group().split("."))]
+    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m.group().split(".")))]
     for m in _CARD.finditer(text):
         own = _digits(m.group())
         if 16 <= len(own) <= 19 and luhn(own):
@@ -86,9 +90,12 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 _KEYWORDS = frozenset("phone tel telephone mobile fax call cell card visa mastercard credit ip host server email mail at dot date version order invoice id page isbn section price total".split())
 #: A token and the white space before it.
+_SPACE = re.compile(r"\s")
 _SPACED = re.compile(r"\s*(?:[0-9]+|[^\W\d_]+|[^\s])")
 #: Tokens that a worker remembers, and tokens of padded runs that are decoded at once.
 REMEMBERED, AT_ONCE = 200_000, 100_000
+#: Characters of a longer text that are decoded at once, and tokens before and after such a window that only lend context.
+WINDOW, CONTEXT = 1 << 18, 32
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
@@ -276,6 +283,12 @@ def train(table_: list[list[tuple[str, str]]] | None = None, steps: int = 50, ra
     return Field(names, weights.astype(np.float32), moves.astype(np.float32))
 
 
+@functools.cache
+def trained() -> Field:
+    """The field of `labelled_windows`, trained once in a process."""
+    return train()
+
+
 class Decoder:
     """A field's labels of whole texts.
 
@@ -367,6 +380,37 @@ class Decoder:
 
     def labels(self, texts: list[str]) -> list[np.ndarray]:
         """The best labels of each text's tokens."""
+        return self._labels(texts)[0]
+
+    def windows(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Start, end and labels of windows that cover a long text, each token in one of them.
+
+        A window ends before a token that is O on every best path, so that runs of other labels
+        are whole, and begins with tokens of the one before, whose labels are dropped; one
+        without such a token is taken again twice as wide. The labels are those of the whole text.
+        """
+        lead = start = 0
+        size = WINDOW
+        while start < len(text):
+            end = _SPACE.search(text, start + size) if start + size < len(text) else None
+            end = end.start() if end else len(text)
+            (path,), (sure,) = self._labels([text[lead:end]])
+            places = [m.start() for m in _TOKEN.finditer(text, lead, end)]
+            first = bisect.bisect_left(places, start)
+            if end == len(text):
+                yield start, end, path[first:]
+                return
+            cuts = np.flatnonzero(sure[: max(len(places) - CONTEXT, 0)])
+            cuts = cuts[cuts > first]
+            if len(cuts):
+                last = int(cuts[-1])
+                yield start, places[last], path[first:last]
+                start, lead, size = places[last], places[max(last - CONTEXT, 0)], WINDOW
+            else:
+                size *= 2
+
+    def _labels(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The best labels of each text's tokens, and which tokens are O on every best path."""
         score, begins, ends = self.scores(texts)
         inside = np.zeros(len(score) + 1, np.int64)
         np.add.at(inside, begins, 1)
@@ -396,7 +440,7 @@ class Decoder:
             part = order[first:last]
             self._runs(score, inside, starts[part], stops[part], path)
             first = last
-        return [path[a:b] for a, b in zip(begins, ends)]
+        return [path[a:b] for a, b in zip(begins, ends)], [sure[a:b] for a, b in zip(begins, ends)]
 
     def _runs(self, score: np.ndarray, inside: np.ndarray, starts: np.ndarray, stops: np.ndarray, path: np.ndarray) -> None:
         """Viterbi over runs of rows, the shortest first; a token before or after a run is O."""
@@ -432,27 +476,38 @@ def _valid(kind: str, value: str) -> bool:
     return re.search(r"(?i)@|\bat\b", value) is not None and re.search(r"(?i)\.|\bdot\b", value) is not None
 
 
-def added_spans(texts: list[str], base: list[dict[str, list[Span]]], field: Field) -> list[dict[str, list[Span]]]:
-    """What the field finds beside the base spans."""
-    out: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
-    for i, path in enumerate(field.decoder().labels(texts)):
-        if not path.any():
+def _named(text: str, start: int, end: int, path: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of the valid spans that the labels of a window's tokens mark."""
+    if not path.any():
+        return
+    w = tokens(text, start, end)
+    j = 0
+    while j < len(path):
+        if path[j] == 0:
+            j += 1
             continue
-        w = tokens(texts[i], 0, len(texts[i]))
-        taken = [s for spans in base[i].values() for s in spans]
-        j = 0
-        while j < len(path):
-            if path[j] == 0:
-                j += 1
-                continue
-            kind, first = KINDS[(path[j] - 1) // 2], j
+        kind, first = KINDS[(path[j] - 1) // 2], j
+        j += 1
+        while j < len(path) and path[j] and path[j] % 2 == 0 and KINDS[(path[j] - 1) // 2] == kind:
             j += 1
-            while j < len(path) and path[j] and path[j] % 2 == 0 and KINDS[(path[j] - 1) // 2] == kind:
-                j += 1
-            start, end = w[first][1], w[j - 1][2]
-            if _valid(kind, texts[i][start:end]) and all(end <= a or b <= start for a, b in taken):
-                out[i][kind].append((start, end))
-                taken.append((start, end))
+        if _valid(kind, text[w[first][1] : w[j - 1][2]]):
+            yield kind, w[first][1], w[j - 1][2]
+
+
+def added_spans(texts: list[str], base: list[dict[str, list[Span]]], field: Field) -> list[dict[str, list[Span]]]:
+    """What the field finds beside the base spans; it overlaps none of them."""
+    out: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
+    decoder = field.decoder()
+    short = [i for i, t in enumerate(texts) if len(t) <= WINDOW]
+    paths = dict(zip(short, decoder.labels([texts[i] for i in short])))
+    for i, text in enumerate(texts):
+        taken = sorted(s for spans in base[i].values() for s in spans)
+        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        for window in [(0, len(text), paths[i])] if i in paths else decoder.windows(text):
+            for kind, start, end in _named(text, *window):
+                before = bisect.bisect_left(starts, end)  # of the base spans that begin before its end, one may reach into it
+                if not before or ends[before - 1] <= start:
+                    out[i][kind].append((start, end))
     return out
 
 
@@ -462,7 +517,7 @@ def _joined(spans: dict[str, list[Span]]) -> str:
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base counts, base_sha256 and spans for every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(field or train())
+    shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
