@@ -74,6 +74,14 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names behind as many underscores as no column begins with."""
+    before = "_"
+    while any(c.lower().startswith(before) for c in columns):
+        before += "_"
+    return [before + n for n in names]
+
+
 def text_of(column: pa.Array) -> pa.Array:
     """The column without nulls (null: empty text)."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,6 +4,8 @@ A source's rate is its share of the wanted rows over the rows it has. Each docum
 uniform number from a hash of the seed and its doc_id, the inverse of the Poisson
 distribution with that rate turns it into a number of copies, and the copies are dealt over
 all partitions and sorted there by another hash: a global random order, the same in every run.
+A rate of over `PIECE` is cut into equal pieces with a draw each, as a sum of Poisson draws is
+one with the sum of the rates; so the tables stay short whatever the rate.
 
 Only counts by source are gathered. The table of sources is broadcast if it has at most
 `BROADCAST_SOURCES` rows, and joined by key otherwise; either way a hot source splits freely,
@@ -11,8 +13,8 @@ since nothing is grouped by source but counts.
 
 A null source is a source of its own; a null doc_id draws as the text "null"; rows with equal
 doc_id draw the same number. Sources without a weight get none and their rows go. An empty
-table gives an empty result. All columns of the input stay; `copy` (1 and up) is added unless
-the input has such a column, which then stays as it is.
+table gives an empty result. All columns of the input stay, whatever their names; `copy` (1 and
+up) is added unless the input has such a column, which then stays as it is.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import table
+from skein.llm.shared import free_names, stored, table
 
 SEED = 17
 BROADCAST_SOURCES = 20_000
+#: The largest rate that is drawn at once.
+PIECE = 64
 
 
-def uniform(seed: int, doc_id: Column) -> Column:
-    """A number in (0, 1) from the first 52 bits of an MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(seed: int, doc_id: Column, piece: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of an MD5; pieces after the first have one of their own."""
+    text = F.concat(F.lit(str(seed)), F.when(piece > 0, F.concat(F.lit("."), piece.cast("string"))).otherwise(F.lit("")), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -61,17 +65,23 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, rows:
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, rows: int | None = None, seed: int = SEED) -> DataFrame:
     """docs (at least doc_id, source), replicated to the weights (None: all sources alike) and globally shuffled."""
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, rows).select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf")).cache()
+    source, pieces, cdf, drawn, copy, order = free_names(docs.columns, "source", "pieces", "cdf", "drawn", "copy", "order")
+    n_pieces = F.ceil(F.col("rate") / PIECE).cast("int")
+    rates = stored(source_rates(docs, weights, rows).select(F.col("source").alias(source), n_pieces.alias(pieces), poisson_cdf(F.col("rate") / n_pieces).alias(cdf)), "rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source")))
-    drawn = joined.withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("_k", F.expr("size(filter(_cdf, c -> c <= _u))"))
-    copies = drawn.where("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    order = copies.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_copy")))
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col(source)))
+    one = lambda piece: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(seed, F.col("doc_id"), piece)))
+    several = F.aggregate(F.sequence(F.lit(1), F.col(pieces) - 1), one(F.lit(0)), lambda n, piece: n + one(piece))
+    # most rates are one piece: its draw is a column, made once a row
+    u = uniform(seed, F.col("doc_id"), F.lit(0))
+    first = joined.withColumn(order, u).withColumn(drawn, F.when(F.col(pieces) == 1, F.size(F.filter(F.col(cdf), lambda c: c <= F.col(order)))).otherwise(several))
+    copies = first.where(F.col(drawn) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(drawn)))).drop(cdf, source, pieces, drawn)
+    dealt = copies.withColumn(order, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(copy)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = order.repartition(n, "_order").sortWithinPartitions("_order")
+    spread = dealt.repartition(n, order).sortWithinPartitions(order)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return spread.select(*own, *([] if "copy" in docs.columns else [F.col("_copy").alias("copy")]))
+    return spread.select(*own, *([] if "copy" in map(str.lower, docs.columns) else [F.col(copy).alias("copy")]))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +90,18 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n AS rate FROM c),
+w AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n AS whole FROM c),
+r AS (SELECT source, CAST(ceil(whole / {PIECE}) AS BIGINT) AS pieces, whole / ceil(whole / {PIECE}) AS rate FROM w),
 p AS (
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM r, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) + 1)) AS u(k)
 ), d AS (
-  SELECT *, (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT documents.*, (CAST('0x' || substr(md5('{SEED}' || CASE WHEN j > 0 THEN '.' || j ELSE '' END || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source, unnest(range(0, pieces)) AS v(j)
 ), k AS (
   SELECT doc_id, text, lang, d.source, n_chars, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM d.source AND cdf <= d.u) AS n FROM d
+), s AS (
+  SELECT doc_id, text, lang, source, n_chars, sum(n) AS n FROM k GROUP BY ALL
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS copy FROM k, unnest(range(1, n + 1)) AS u(i)
+SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS copy FROM s, unnest(range(1, CAST(n AS BIGINT) + 1)) AS u(i)
 """
