@@ -7,7 +7,7 @@ ones let pass. A text is kept if no rule rejects it, so the order changes the wo
 verdict.
 
 Null and empty texts have no words; they fail the base rule. Repeated rows get equal results.
-Other columns of the input are not read; `filter_quality` keeps them.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.shared import Words, chunks, mapped, mix, per_text, raw, shingles, span_hashes, table, text_of
 
-#: Rows that the planner times; it bounds the driver's part whatever the corpus holds.
+#: Rows that the planner times.
 SAMPLE_ROWS = 512
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -157,19 +157,23 @@ def base_failed(base: Base) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
 
 
-def plan(column: pa.Array, rules: dict[str, Rule] = RULES) -> list[str]:
-    """The rules' names by rejections per second on a sample, most first; ties keep the given order."""
-    if not len(column):
-        return list(rules)
+def measured(column: pa.Array, rules: dict[str, Rule] = RULES) -> dict[str, tuple[float, int]]:
+    """Seconds and rejections of each rule on a sample, among texts that the base rule passes."""
     base = base_features(column)
     alive = ~base_failed(base)
     column, base = column.filter(pa.array(alive)), {k: v[alive] for k, v in base.items()}
-    gain = {}
+    out = {}
     for name, rule in rules.items():
         began = time.perf_counter()
-        rejects = rule(column, base).mean() if len(column) else 0.0
-        gain[name] = rejects / max(time.perf_counter() - began, 1e-6)
-    return sorted(rules, key=lambda name: -gain[name])
+        rejects = int(rule(column, base).sum()) if len(column) else 0
+        out[name] = time.perf_counter() - began, rejects
+    return out
+
+
+def plan(cost: dict[str, tuple[float, int]], rules: dict[str, Rule] = RULES) -> list[str]:
+    """The rules' names by rejections per second, most first; ties keep the given order."""
+    gain = {name: rejects / max(seconds, 1e-6) for name, (seconds, rejects) in cost.items()}
+    return sorted(rules, key=lambda name: -gain.get(name, 0.0))
 
 
 def cascade(column: pa.Array, order: list[str], rules: dict[str, Rule] = RULES) -> tuple[Base, np.ndarray, np.ndarray]:
@@ -189,16 +193,26 @@ def cascade(column: pa.Array, order: list[str], rules: dict[str, Rule] = RULES)
     return base, failed, kept
 
 
-def sample_texts(docs: DataFrame, rows: int) -> pa.Array:
-    """Up to `rows` texts, spread over the table by a hash; they set the rules' order only."""
-    part = docs.where((F.xxhash64("doc_id") % 16) == 0).select(F.coalesce("text", F.lit("")).alias("text")).limit(rows)
-    got = part.toArrow().column("text").combine_chunks()
-    return text_of(got)
+def sampled_costs(docs: DataFrame, rows: int, rules: dict[str, Rule] = RULES) -> dict[str, tuple[float, int]]:
+    """What `measured` gives on up to `rows` texts, spread over the table by a hash; they set the rules' order only. Executors measure: no text comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {name: (0.0, 0) for name in rules}
+        for batch in chunks(batches):
+            for name, (seconds, rejects) in measured(text_of(batch.column("text")), rules).items():
+                total[name] = total[name][0] + seconds, total[name][1] + rejects
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t[0] for t in total.values()]), pa.array([t[1] for t in total.values()])], ["rule", "seconds", "rejects"])
+
+    part = docs.where(F.col("doc_id").isNull() | ((F.xxhash64("doc_id") % 16) == 0)).select("text").limit(rows)
+    out = {name: (0.0, 0) for name in rules}
+    for r in mapped(part, run, "rule string, seconds double, rejects long").collect():  # a row for each rule and task
+        out[r["rule"]] = out[r["rule"]][0] + r["seconds"], out[r["rule"]][1] + r["rejects"]
+    return out
 
 
 def score_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the five base features, base_failed and kept for every row of docs (columns doc_id, text)."""
-    order = plan(sample_texts(docs, sample_rows))
+    order = plan(sampled_costs(docs, sample_rows))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

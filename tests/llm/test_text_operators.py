@@ -3,14 +3,13 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import chat_format as C
 from skein.llm import decontaminate as D
 from skein.llm import jaccard_join as J
-from skein.llm import license_scan as L
 from skein.llm import quality_rules as Q
-from skein.llm import secret_scan as S
 from skein.llm import source_mix as M
 
 DOCS = "doc_id long, text string"
@@ -33,6 +32,18 @@ def test_quality_edges(spark):
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, i
         assert got[i]["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
     assert Q.score_quality(df.limit(0)).collect() == []
+    nameless = df.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
+    assert sorted(r["n_words"] for r in Q.score_quality(nameless).collect()) == sorted(r["n_words"] for r in got.values())
+
+
+def test_rules_are_planned_by_rejections_per_second(spark):
+    cost = {name: (1.0, i % 3) for i, name in enumerate(Q.RULES)}
+    names = list(Q.RULES)
+    assert Q.plan(cost) == names[2::3] + names[1::3] + names[0::3]
+    assert Q.plan({**cost, names[0]: (0.001, 1)})[0] == names[0]
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = Q.sampled_costs(df.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"), 100)
+    assert got.keys() == Q.RULES.keys() and sum(r for _, r in got.values()) > 0 and all(s > 0 for s, _ in got.values())
 
 
 def test_the_order_of_rules_does_not_change_the_verdict(spark):
@@ -86,27 +97,44 @@ def test_jaccard_components(spark):
                 w[r.randrange(len(w))] = f"x{r.randint(0, 3)}"
             rows.append((len(rows), " ".join(w[: len(w) - r.choice([0, 0, 1, len(w) // 8])])))
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS n", "2 AS component_id")
-    assert sorted(map(tuple, J.jaccard_components(df).collect())) == brute_components(rows)
+    assert sorted(map(tuple, J.jaccard_components(df, 4, 85).collect())) == brute_components(rows)
 
 
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "A b C d e"), (2, "A b C d e"), (3, None)], DOCS)
-    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect())
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df, 4, 85).collect())
     assert got == [(False, 0, 2, None), (True, 1, 2, 1), (True, 2, 2, 1), (True, 2, 2, 1), (True, 3, 0, 3)]
-    assert J.jaccard_components(df.limit(0)).collect() == []
+    assert J.jaccard_components(df.limit(0), 4, 85).collect() == []
 
 
-def test_decontamination_edges(spark):
+@pytest.mark.parametrize("most", [D.BROADCAST_WINDOWS, 0])
+def test_decontamination_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", most)
     item = "the quick brown fox jumps over the lazy dog again and again"
-    items = spark.createDataFrame([(1, item), (10, item), (2, "Short One"), (3, None), (4, "..."), (None, "zzz")], "item_id long, text string")
-    rows = [(1, None), (2, "x " + item.upper().replace(" ", ", ") + " y"), (3, "the quick brown fox jumps over the lazy dog"), (4, "short-one short one"), (5, ""), (5, "zzz")]
-    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in D.contamination(spark.createDataFrame(rows, DOCS), items).collect())
+    items = spark.createDataFrame([(1, item), (10, item), (2, "Short One"), (3, None), (4, "..."), (None, "zzz"), (1, item)], "item_id long, text string")
+    rows = [(1, None), (2, "x " + item.upper().replace(" ", ", ") + " y"), (3, "the quick brown fox jumps over the lazy dog"), (4, "short-one short one"), (5, ""), (5, "zzz"), (None, "zzz"), (5, "zzz")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted(((r["doc_id"] or 0), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in D.contamination(docs.selectExpr("*", "1 AS n_hit", "2 AS h"), items).collect())
     d = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert got == [(1, 0, 0, 0, d(""), False), (2, 14, 12, 2, d("1,10"), True), (3, 9, 0, 0, d(""), False), (4, 4, 4, 1, d("2"), True), (5, 0, 0, 0, d(""), False), (5, 1, 0, 0, d(""), False)]
+    zzz = (1, 1, 0, d(""), True)
+    assert got == [(0, *zzz), (1, 0, 0, 0, d(""), False), (2, 14, 12, 2, d("1,10"), True), (3, 9, 0, 0, d(""), False), (4, 4, 4, 1, d("2"), True), (5, 0, 0, 0, d(""), False), (5, *zzz), (5, *zzz)]
     assert D.contamination(spark.createDataFrame([], DOCS), items).collect() == []
-    assert all(not r["contaminated"] for r in D.contamination(spark.createDataFrame(rows, DOCS), items.limit(0)).collect())
-    kept = D.without_contaminated(spark.createDataFrame(rows, DOCS).withColumn("n_hit", F.lit("x")), items)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 5] and kept.columns == ["doc_id", "text", "n_hit"]
+    if most:
+        assert all(not r["contaminated"] for r in D.contamination(docs, items.limit(0)).collect())
+    kept = D.without_contaminated(docs.withColumn("n_hit", F.lit("x")).withColumn("h", F.lit(1)), items)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5] and kept.columns == ["doc_id", "text", "n_hit", "h"]
+    text_ids = D.contamination(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), items.selectExpr("concat('i', item_id) AS item_id", "text")).collect()
+    assert {r["doc_id"]: r["items_sha256"] for r in text_ids}["d2"] == d("i1,i10")
+
+
+def test_decontamination_by_shuffle_equals_the_index(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    long = spark.createDataFrame([(-1, "filler words " * 40_000 + items.first()["text"] + " and more" * 1000)], DOCS)
+    both = docs.select("doc_id", "text").union(long)
+    one = sorted(map(tuple, D.contamination(both, items).collect()))
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(tuple, D.contamination(both, items).collect())) == one and one[0][0] == -1 and one[0][5]
 
 
 def test_mix_rates_and_edges(spark):
@@ -117,7 +145,33 @@ def test_mix_rates_and_edges(spark):
     one, two = (M.mix_sources(df, {"a": 1}, rows=2000).select("doc_id", "copy").collect() for _ in range(2))
     assert one == two and [r["doc_id"] for r in one] != sorted(r["doc_id"] for r in one)
     assert M.mix_sources(df.limit(0)).collect() == []
-    assert M.mix_sources(df.withColumn("copy", F.lit("own"))).first()["copy"] == "own"
+    odd = df.limit(9).selectExpr("*", "'own' AS Copy", "1 AS _source", "2 AS _cdf", "3 AS _u", "4 AS _k", "5 AS __order", "6 AS _drawn", "7 AS rate", "8 AS w", "9 AS `a.b`")
+    got = M.mix_sources(odd).collect()
+    assert got and got[0].asDict().keys() == set(odd.columns) and {tuple(r)[3:] for r in got} == {("own", *range(1, 10))}
+
+
+def test_a_rare_source_is_drawn_in_pieces(spark):
+    """Rates of many thousands; each count is checked against sums of inverted draws."""
+    import hashlib as H
+    import math
+
+    rows = [(i, "rare" if i < 3 else "common") for i in range(200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
+    got = {r["doc_id"]: r["count"] for r in M.mix_sources(df, {"rare": 1.0, "common": 1e-9}, rows=120_000).groupBy("doc_id").count().collect()}
+    rate = 1 / (1 + 1e-9) * 120_000 / 3
+    pieces = math.ceil(rate / M.PIECE)
+    for doc_id in range(3):
+        want = 0
+        for j in range(pieces):
+            u = (int(H.md5(f"17{f'.{j}' if j else ''}:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            k, p, total = 0, math.exp(-rate / pieces), 0.0
+            while total + p <= u:
+                total += p
+                k += 1
+                p *= rate / pieces / k
+            want += k
+        assert abs(got[doc_id] - want) <= 1 and abs(got[doc_id] - rate) < 6 * math.sqrt(rate)
+    assert set(got) <= {0, 1, 2} or len(got) < 10
 
 
 def test_poisson_cdf_of_large_and_small_rates(spark):
@@ -130,24 +184,3 @@ def test_poisson_cdf_of_large_and_small_rates(spark):
             want += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
             assert abs(cdf[k] - want) < 1e-9
         assert cdf[-1] > 1 - 1e-10
-
-
-def test_license_scan(spark):
-    rows = [
-        (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c/x.py", "code\nmore code"), (3, "a/b/y.py", "text text\nReleased under the MIT License."),
-        (4, "z/w.py", "license to nothing at all, they said of the old house"), (5, None, None), (6, "top.py", ""), (7, "a/b/NOTICE.txt", "This work is licensed under the GNU General Public License, version 2."),
-    ]
-    got = {r["id"]: (r["license"], r["license_file"], r["inherited_from"]) for r in L.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
-    assert got == {1: ("Apache-2.0", True, None), 2: ("GPL", False, "a/b/NOTICE.txt"), 3: ("MIT", False, None), 4: (None, False, None), 5: (None, False, None), 6: (None, False, None), 7: ("GPL", True, None)}
-    assert L.scan_licenses(spark.createDataFrame([], "id long, path string, text string")).collect() == []
-
-
-def test_secret_scan(spark):
-    held = S.labelled_findings(300, seed=91)
-    import numpy as np
-
-    p = S.train().predict(np.array([S.features(*f[:4]) for f in held])) >= 0.5
-    assert sum(a == bool(f[4]) for a, f in zip(p, held)) / len(held) > 0.95
-    rows = [(1, "p", 'x token = "1eb9c654e721b4f812088970e66a6345cee33dd6" y'), (2, None, "commit 1eb9c654e721b4f812088970e66a6345cee33dd6"), (None, None, None), (3, "p", "4785380592391139 and averyverylongwordindeed")]
-    got = {(r["doc_id"], r["start"], r["end"], r["secret"]) for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert got == {(1, 11, 51, True), (2, 7, 47, False)}
