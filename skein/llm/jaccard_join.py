@@ -346,7 +346,7 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("gid_x", "gid_y").alias("a"), F.least("gid_x", "gid_y").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     ranks, bits, mean = rank_table(docs, k)
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
 ORACLE_SQL = r"""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, pii, quality_rules, secret_scan, source_mix, token_files, toxicity
+from skein.llm import chat_format, decontaminate, jaccard_join, license_scan, pii, pipeline, quality_rules, secret_scan, source_mix, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_token_files": token_files.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,

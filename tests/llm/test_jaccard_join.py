@@ -55,7 +55,7 @@ def test_groups_of_near_copies(spark, monkeypatch, limits):
     rows = copies(r, words(r, 150), 120, 0, [0, 1, 2, 3, 4]) + copies(r, words(r, 40), 60, 200, [0, 1, 2]) + copies(r, words(r, 14), 30, 300, [0, 1])
     passage = words(r, 50)
     rows += [(400 + i, " ".join(passage + words(r, r.choice([3, 6, 9, 12, 60])))) for i in range(60)]
-    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()))
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()))
     assert got == brute_force(rows)
 
 
@@ -63,7 +63,7 @@ def test_a_shingle_that_many_unlike_documents_share(spark):
     r = random.Random(6)
     rows = [(i, " ".join(["one", "two", "three", "four", *words(r, r.choice([0, 1, 4, 8]))])) for i in range(2000)]
     df = spark.createDataFrame(rows, DOCS)
-    assert sorted(map(tuple, J.jaccard_components(df).collect())) == brute_force(rows)
+    assert sorted(map(tuple, J.jaccard_components(df, 4, 85).collect())) == brute_force(rows)
     ranks, bits, mean = J.rank_table(df, 4)
     groups = J._grouped(J.signatures(df, ranks, bits, 4, 85))[1]
     lists = J.prefix_lists(groups, 85, mean)
@@ -75,4 +75,4 @@ def test_a_very_long_text_and_its_copy(spark):
     r = random.Random(7)
     long = words(r, 60_000)
     rows = [(1, " ".join(long)), (2, " ".join([*long[:-100], *words(r, 100)])), (3, " ".join(long[: len(long) // 2]))]
-    assert [(c, n > 29_000) for _, n, c in sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()))] == [(1, True), (1, True), (3, True)]
+    assert [(c, n > 29_000) for _, n, c in sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()))] == [(1, True), (1, True), (3, True)]
