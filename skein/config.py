@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from skein.functions.junk import JUNK_DOMAINS, junk_patterns
+
 
 @dataclass(frozen=True)
 class CrawlConfig:
@@ -49,8 +51,9 @@ class CrawlConfig:
     metafilters: tuple[str, ...] = ()
     wordfilter: str = ""
     junkfilter: bool = True
-    junk_domains: tuple[str, ...] = field(default=("doubleclick.net", "adbrite.com", "adtech.de"))
-    junk_patterns: tuple[str, ...] = field(default=(r"/ads?/", r"/banners?/", r"[./]adserver[./]", r"/popups?/"))
+    dryrun: bool = False
+    junk_domains: tuple[str, ...] = field(default=JUNK_DOMAINS)
+    junk_patterns: tuple[str, ...] = field(default=junk_patterns())
 
 
 def user_browse(start_url: str, **more) -> CrawlConfig:

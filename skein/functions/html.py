@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import lookup as L
+from skein.functions.url import resolve_one
 
 
 def title(html: Column) -> Column:
@@ -205,3 +206,38 @@ def sanitized(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|object|embed|applet|iframe)[^>]*>.*?</\1>", "")
     bare = F.regexp_replace(bare, r"(?i)\s(on\w+|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
     return F.regexp_replace(bare, r"(?i)</?(?!(a|abbr|b|blockquote|br|code|dd|div|dl|dt|em|h[1-6]|hr|i|img|li|ol|p|pre|q|s|small|span|strong|sub|sup|table|tbody|td|th|thead|tr|u|ul)\b)[a-z][^>]*>", "")
+
+
+_URI_ATTRIBUTES = re.compile(r"(?i)(\s(?:href|src|action|background|cite|codebase|data|longdesc|usemap)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+
+
+def with_absolute_links(markup: str | None, base: str | None) -> str | None:
+    """Markup whose links are resolved against a base; what can't be resolved stays."""
+    if not markup or not base:
+        return markup
+
+    def put(m: re.Match) -> str:
+        value = m.group(2)
+        quote = value[0] if value[0] in "\"'" else ""
+        link = value.strip("\"'") if quote else value
+        if any(link.lower().startswith(p) for p in L.SKIPPED_LINKS):
+            return m.group()
+        return f"{m.group(1)}{quote}{resolve_one(link, base)[0] or link}{quote}"
+
+    return _URI_ATTRIBUTES.sub(put, markup)
+
+
+def table_rows(html: Column) -> Column:
+    """Texts of the cells of each table row, without markup, in order."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
+    return F.transform(rows, lambda r: F.transform(cells(r), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", " "))))
+
+
+def labelled_links(html: Column) -> Column:
+    """Structs label, link: each link in a table cell with the text of the cell before it in its row."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", " "))
+    pairs = F.flatten(F.transform(rows, lambda r: F.transform(cells(r), lambda c, i: F.struct(F.when(i > 0, plain(F.get(cells(r), i - 1))).alias("label"), F.regexp_extract(c, r"(?i)<a[^>]*href=\"([^\"]*)\"", 1).alias("link")))))
+    return F.filter(pairs, lambda p: p["link"] != "")

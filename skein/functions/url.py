@@ -44,6 +44,12 @@ def last_segment(u: Column) -> Column:
     return F.element_at(F.split(path(u), "/"), -1)
 
 
+def as_directory(u: Column) -> Column:
+    """The URL as one of a directory: its last segment becomes one, and query and fragment go."""
+    plain = F.regexp_replace(u, r"[?#].*$", "")
+    return F.when(F.endswith(plain, F.lit("/")), plain).otherwise(F.concat(plain, F.lit("/")))
+
+
 def is_filelike(u: Column) -> Column:
     """The last segment has no dot, or one inside it, and is not of an extension that stands for a directory."""
     s = last_segment(u)

@@ -84,8 +84,18 @@ def restored(cache: DataFrame) -> DataFrame:
 # ---- keyed tables with row ids and versions
 
 def insert(table: DataFrame, rows: DataFrame, next_id: int) -> DataFrame:
-    """Appends rows with __id__ from next_id and __version__ 0; missing fields are null."""
-    numbered = rows.withColumn("__id__", (F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1 + next_id).cast("long")).withColumn("__version__", F.lit(0))
+    """Appends rows with __id__ from next_id, without gaps, and __version__ 0; missing fields are null.
+
+    Rows are numbered inside their partitions, and partitions by how many rows stand before them, so
+    no task gets them all.
+    """
+    placed = rows.select("*", F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    before, total = {}, next_id
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    base = F.element_at(F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))), F.col("_part")) if before else F.lit(next_id)
+    numbered = placed.withColumn("__id__", (base + F.col("_row")).cast("long")).withColumn("__version__", F.lit(0)).drop("_at", "_part", "_row")
     return table.unionByName(numbered, allowMissingColumns=True)
 
 
@@ -114,3 +124,10 @@ def select(table: DataFrame, **values) -> DataFrame:
 
 def add_field(table: DataFrame, name: str, default=None) -> DataFrame:
     return table.withColumn(name, F.lit(default))
+
+
+def drop_field(table: DataFrame, name: str) -> DataFrame:
+    """The table without a field; its ids and versions can't go."""
+    if name in ("__id__", "__version__") or name not in table.columns:
+        raise ValueError(f"no field {name}")
+    return table.drop(name)

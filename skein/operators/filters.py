@@ -93,6 +93,9 @@ def under_start(u: Column, base: Column, cfg: CrawlConfig) -> Column:
 
 
 def too_deep(u: Column, base: Column, cfg: CrawlConfig) -> Column:
+    """More directories below the start than cfg.depth; a depth of -1 tests nothing."""
+    if cfg.depth == -1:
+        return F.lit(False)
     d = U.relative_depth(u, base, 0)
     return (d != -1) & (d > cfg.depth)
 
@@ -118,8 +121,23 @@ def media_dropped(u: Column, kind: Column, cfg: CrawlConfig) -> Column:
     return reduce(lambda a, b: a | b, [test for on, test in off if not on], F.lit(False))
 
 
+def page_searched(title: Column, keywords: Column, description: Column, content: Column, pattern: str) -> Column:
+    """Whether a page's keywords, description, title or content match: a crawl that goes on from such pages alone."""
+    return F.coalesce(F.exists(keywords, lambda k: k.rlike(pattern)) | description.rlike(pattern) | title.rlike(pattern) | content.rlike(pattern), F.lit(False))
+
+
+def small_image(u: Column, kind: Column, length: Column, least: int) -> Column:
+    """An image of fewer bytes than `least`, which is not saved."""
+    return U.is_image(u, kind) & (length < least)
+
+
 # ---- robots
 
+def _decoded(value: Column) -> Column:
+    """Percent escapes undone; a plus sign stays, and so does a value with a broken escape."""
+    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+
+
 def parse_robots(robots: DataFrame) -> DataFrame:
     """Rules of robots.txt bodies (host, status, body): host, entry, agent, rule, allow, path.
 
@@ -129,7 +147,7 @@ def parse_robots(robots: DataFrame) -> DataFrame:
     """
     lines = robots.where(F.coalesce("status", F.lit(200)) < 400).select("host", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|\n|\r")).alias("line", "text"))
     parts = lines.select("host", "line", F.trim(F.regexp_replace("text", "#.*$", "")).alias("text")).select(
-        "host", "line", F.lower(F.trim(F.regexp_extract("text", r"^([^:]+):", 1))).alias("name"), F.trim(F.regexp_extract("text", r"^[^:]+:(.*)$", 1)).alias("value"), (F.col("text") == "").alias("blank")
+        "host", "line", F.lower(F.trim(F.regexp_extract("text", r"^([^:]+):", 1))).alias("name"), _decoded(F.trim(F.regexp_extract("text", r"^[^:]+:(.*)$", 1))).alias("value"), (F.col("text") == "").alias("blank")
     ).where(F.col("name").isin("user-agent", "allow", "disallow") | F.col("blank"))
     w = W.partitionBy("host").orderBy("line")
     begins = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(w), F.lit("")) != "user-agent")
@@ -145,12 +163,13 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, path: Column |
     """urls (url_id, url) with `allowed`: the first entry whose agent is part of ours decides, by its first rule that fits."""
     token = agent.split("/")[0].lower()
     own = rules.where((F.col("agent") == "*") | F.contains(F.lit(token), F.split_part(F.col("agent"), F.lit("/"), F.lit(1))))
-    first = own.groupBy("host").agg(F.min("entry").alias("entry"))
-    own = own.join(first, ["host", "entry"]).select("host", "rule", "allow", F.col("path").alias("prefix"))
-    here = urls.withColumn("host", U.host(F.col("url"))).withColumn("_path", path if path is not None else U.path(F.col("url")))
-    fits = (F.col("prefix") == "*") | F.startswith(F.col("_path"), F.col("prefix"))
-    hits = here.join(own, "host").where(fits).groupBy("url_id").agg(F.min_by("allow", "rule").alias("allow"))
-    return urls.join(hits, "url_id", "left").select(*urls.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))
+    # the rules of a host are one short list, so its URLs meet one row, however many they are
+    entries = own.groupBy("host", "entry").agg(F.array_sort(F.collect_list(F.struct("rule", "allow", F.col("path").alias("prefix")))).alias("rules"))
+    first = entries.groupBy("host").agg(F.min_by("rules", "entry").alias("_rules"))
+    here = urls.withColumn("_host", U.host(F.col("url"))).withColumn("_path", _decoded(path if path is not None else U.path(F.col("url"))))
+    joined = here.join(first.withColumnRenamed("host", "_host"), "_host", "left").withColumn("_path", F.when(F.col("_path") == "", "/").otherwise(F.col("_path")))
+    hits = F.filter("_rules", lambda r: (r["prefix"] == "*") | F.startswith(F.col("_path"), r["prefix"]))
+    return joined.withColumn("allowed", F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))).select(*urls.columns, "allowed")
 
 
 # ---- the chain

@@ -158,3 +158,33 @@ def next_mirror(candidates: DataFrame, failed: DataFrame) -> DataFrame:
     """For each URL the first mirror that has not failed; URLs without one are not returned."""
     left = candidates.join(failed.select("url_id", "mirror_id"), ["url_id", "mirror_id"], "left_anti")
     return left.groupBy("url_id").agg(F.min_by("mirror_url", "mirror_id").alias("mirror_url"), F.min("mirror_id").alias("mirror_id"))
+
+
+def mirror_capable(u: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a URL's host is one of those that serve a file in parts from mirrors."""
+    return U.host(u).isin([h.lower() for h in hosts])
+
+
+def find_mirror(urls: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """url_id, mirror_id: the first mirror (mirror_id, base_url, absolute) that a URL (url_id, url, base_url) stands on. An absolute mirror has to be the URL itself, another its base URL."""
+    own, base = (mirrors.where(c).select("mirror_id", F.col("base_url").alias("_m")) for c in ("absolute", "NOT absolute"))
+    hits = urls.join(own, F.col("url") == F.col("_m")).select("url_id", "mirror_id").union(urls.join(base, F.col("base_url") == F.col("_m")).select("url_id", "mirror_id"))
+    return hits.groupBy("url_id").agg(F.min("mirror_id").alias("mirror_id"))
+
+
+def mirror_ranges(files: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
+    """Pieces of files (url_id, length), one on each of the first `parts` mirrors of candidates (url_id, mirror_id, mirror_url): part, range_start, range_end. A file needs two mirrors at least; with fewer than `parts`, it has as many pieces as mirrors."""
+    rank = F.row_number().over(W.partitionBy("url_id").orderBy("mirror_id")) - 1
+    chosen = candidates.withColumn("part", rank).where(F.col("part") < parts)
+    several = chosen.groupBy("url_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    j = files.where("length > 0").join(several, "url_id").join(chosen, "url_id")
+    size = F.floor(F.col("length") / F.col("n"))
+    end = F.when(F.col("part") == F.col("n") - 1, F.col("length")).otherwise((F.col("part") + 1) * size) - 1
+    return j.select("url_id", "mirror_id", "mirror_url", "part", (F.col("part") * size).cast("long").alias("range_start"), end.cast("long").alias("range_end")).where("range_end >= range_start")
+
+
+def mirror_stats(pieces: DataFrame, failed: DataFrame) -> DataFrame:
+    """mirror_id, pieces, bytes, failures over pieces (mirror_id, range_start, range_end) and failed (mirror_id)."""
+    used = pieces.groupBy("mirror_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("range_end") - F.col("range_start") + 1).alias("bytes"))
+    bad = failed.groupBy("mirror_id").agg(F.count(F.lit(1)).alias("failures"))
+    return used.join(bad, "mirror_id", "full").select("mirror_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pieces", "bytes", "failures")))

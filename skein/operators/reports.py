@@ -117,3 +117,8 @@ def pages_by_depth(urls: DataFrame) -> DataFrame:
 
 def running_total(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("total", F.sum(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def tree_lines(nodes: DataFrame) -> DataFrame:
+    """path, line of a tree (node, path: the positions of its ancestors and itself): as many tabs as it has ancestors. Ordered by path, the lines are the tree."""
+    return nodes.select("path", F.concat(F.repeat(F.lit("\t"), F.size("path") - 1), "node").alias("line"))

@@ -31,7 +31,8 @@ def retry_failed(fetched: DataFrame, snapshot: DataFrame, cfg: CrawlConfig) -> D
     if not cfg.retryfailed:
         return fetched.withColumn("retried", F.lit(False)).withColumn("fatal", reports.status_policy(F.col("status"), F.lit(False)) == "fatal")
     again = reports.status_policy(F.col("status"), F.lit(False)) == "retry"
-    second = readers.conditional(fetched.where(again).drop("status", "html"), snapshot).withColumn("retried", F.lit(True))
+    results = [c for c in ("status", "html", "actual_url", "last_modified", "etag") if c in snapshot.columns]
+    second = readers.conditional(fetched.where(again).drop(*results), snapshot).withColumn("retried", F.lit(True))
     first = fetched.where(~again).withColumn("retried", F.lit(False))
     return first.unionByName(second).withColumn("fatal", reports.status_policy(F.col("status"), F.col("retried")) == "fatal")
 

@@ -119,30 +119,43 @@ def script_extract(spark, d):
     return _pages(spark, d).select("page_id", F.posexplode(H.scripts(F.col("html"))).alias("pos", "body"))
 
 
-@query()
+@query(f"""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, true AS can_index, true AS can_follow,
+ CAST(len(list_distinct(list_filter(flatten(list_transform({_ANCHORS}, lambda x: CASE WHEN contains(x, '#') THEN [('anchor', x), ('generic', split_part(x, '#', 1))] ELSE [('generic', x)] END)), lambda p: p[2] <> ''))) AS INTEGER) AS n_links FROM pages""")
 def page_parse(spark, d):
-    """Title, metadata and links of every page by the tolerant parser."""
+    """Title, metadata and links of every page by the tolerant parser. The SQL holds for pages whose only links are anchors, and without metadata."""
     p = _pages(spark, d).select("page_id", H.page_parser(query_links=True)("html").alias("p"))
     return p.select("page_id", "p.title", "p.can_index", "p.can_follow", F.size("p.links").alias("n_links"))
 
 
-_CSS = [("a", '@import "one.css"; @import url(two.css); b { background: url("x.gif") }'), ("b", "p { color: red }"), ("c", "@import url('two.css'); q { background: url(two.css) } r { list-style: url(y.png) }")]
+_SHEET = "'@import \"p' || page_id || '.css\"; @import url(' || url || '); b { background: url(\"' || url || '/x.gif\") } i { background: url(' || url || ') }'"
 
 
-@query("SELECT * FROM (VALUES ('a', 'one.css,two.css,x.gif', 'one.css,two.css'), ('b', '', ''), ('c', 'two.css,y.png', 'two.css')) t(name, links, imports)")
+@query("SELECT page_id, 'p' || page_id || '.css ' || url || ' ' || url || '/x.gif' AS links, 'p' || page_id || '.css ' || url AS imports FROM pages")
 def css_links(spark, d):
-    df = spark.createDataFrame(_CSS, "name string, css string")
-    return df.select("name", F.array_join(H.css_links(F.col("css")), ",").alias("links"), F.array_join(H.css_imports(F.col("css")), ",").alias("imports"))
+    """Links of a style sheet made of each page's URL."""
+    p = _pages(spark, d).select("page_id", F.expr(_SHEET).alias("css"))
+    return p.select("page_id", F.array_join(H.css_links(F.col("css")), " ").alias("links"), F.array_join(H.css_imports(F.col("css")), " ").alias("imports"))
 
 
-@query("SELECT * FROM (VALUES (1, '/last'), (2, 'http://h/r'), (3, NULL), (4, NULL)) t(id, target)")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '/p' || page_id WHEN 2 THEN NULL ELSE NULL END AS target FROM pages")
 def js_redirect(spark, d):
-    rows = [(1, "<script>location.href = '/first'; window.location = \"/last\"</script>"), (2, "<script>x()</script><script>location.replace('http://h/r')</script><script>location='/no'</script>"), (3, "<p>location = 'x'</p>"), (4, None)]
-    return spark.createDataFrame(rows, "id int, html string").select("id", H.js_redirect("html").alias("target"))
+    """Where a script made of each page's URL sends a browser: two assignments, a call, a comparison, and none."""
+    k = F.col("page_id") % 4
+    script = F.when(k == 0, F.concat(F.lit("<script>location.href = '/first'; window.location = \""), "url", F.lit("\"</script>"))).when(
+        k == 1, F.concat(F.lit("<script>x()</script><script>location.replace('/p"), F.col("page_id").cast("string"), F.lit("')</script><script>location='/no'</script>"))
+    ).when(k == 2, F.concat(F.lit("<script>if (location == '"), "url", F.lit("') y()</script>"))).otherwise(F.col("html"))
+    return _pages(spark, d).select("page_id", H.js_redirect(script).alias("target"))
 
 
-@query()
+_PORTLESS = _sql(_PROTO, "source") + " || '://' || " + _sql(_HOST, "source")
+
+
+@query(f"""WITH l AS (SELECT page_id, pos, child, CASE WHEN starts_with(child, '/') THEN {_PORTLESS} || child WHEN starts_with(child, 'http') THEN child END AS whole FROM {_LINKS}),
+n AS (SELECT *, string_split(regexp_extract(whole, '^[a-z]+://[^/?#]*([^?]*)', 1), '/')[-1] AS last FROM l),
+b AS (SELECT *, contains(last, '.') AND NOT regexp_matches(last, '.\\..') AS bare FROM n)
+SELECT page_id, pos, CASE WHEN bare AND NOT contains(whole, '?') THEN whole || '/' ELSE whole END AS full_url, last <> '' AND NOT (bare AND NOT contains(whole, '?')) AS filelike, CAST(NULL AS VARCHAR) AS error FROM b""")
 def link_resolve(spark, d):
+    """Absolute forms of all links. The SQL holds for absolute and root-relative ones, as the pages have."""
     r = _links(spark, d).withColumn("r", U.resolve_url("child", "source", F.lit("generic")))
     return r.select("page_id", "pos", F.col("r.full_url").alias("full_url"), F.col("r.filelike").alias("filelike"), F.col("r.error").alias("error"))
 
@@ -183,25 +196,37 @@ def text_filter(spark, d):
     return docs.select("doc_id", filters.text_filter_context(F.col("text"), none, none, F.array().cast("array<string>"), cfg).alias("context"), filters.word_filtered(F.col("text"), cfg).alias("word_filtered"))
 
 
-@query(f"""WITH b AS (SELECT min(url) AS base FROM pages), s AS (SELECT page_id, url, base, {_sql(_DIR)} AS dir, {_sql(_DIR, 'base')} AS bdir,
- regexp_replace({_sql(_HOST)}, '^www[0-9]*\\.', '') = regexp_replace({_sql(_HOST, 'base')}, '^www[0-9]*\\.', '') AS same,
- '/' || array_to_string({_sql(_DIRS)}, '/') || CASE WHEN len({_sql(_DIRS)}) > 0 THEN '/' ELSE '' END AS pdir, '/' || array_to_string({_sql(_DIRS, 'base')}, '/') || CASE WHEN len({_sql(_DIRS, 'base')}) > 0 THEN '/' ELSE '' END AS pbase, {_sql(_EXT)} AS ext FROM pages, b)
-SELECT page_id, NOT (starts_with(dir, bdir) OR (same AND starts_with(pdir, pbase)) OR ext = '.css' OR ext IN ({_list(L.IMAGE)})) AS level0, CASE WHEN starts_with(dir, bdir) OR (same AND starts_with(pdir, pbase)) OR ext = '.css' OR ext IN ({_list(L.IMAGE)}) THEN false WHEN same THEN false ELSE true END AS level1 FROM s""")
+_SAME = "regexp_replace({0}, '^www[0-9]*\\.', '') = regexp_replace({1}, '^www[0-9]*\\.', '')"
+
+
+@query(f"""WITH b AS (SELECT min(url) AS base, max(url) AS other FROM pages), s AS (SELECT page_id, url, base, CASE WHEN page_id % 3 = 0 THEN other ELSE base END AS parent, {_sql(_DIR)} AS dir, {_sql(_DIR, 'base')} AS bdir,
+ {_SAME.replace('{0}', _sql(_HOST)).replace('{1}', _sql(_HOST, 'base'))} AS same,
+ '/' || array_to_string({_sql(_DIRS)}, '/') || CASE WHEN len({_sql(_DIRS)}) > 0 THEN '/' ELSE '' END AS pdir, '/' || array_to_string({_sql(_DIRS, 'base')}, '/') || CASE WHEN len({_sql(_DIRS, 'base')}) > 0 THEN '/' ELSE '' END AS pbase, {_sql(_EXT)} AS ext FROM pages, b),
+t AS (SELECT *, starts_with(dir, bdir) OR (same AND starts_with(pdir, pbase)) OR ext = '.css' OR ext IN ({_list(L.IMAGE)}) AS inside, {_sql(_DIR, 'parent')} <> bdir AS pd, NOT ({_SAME.replace('{0}', _sql(_HOST, 'parent')).replace('{1}', _sql(_HOST, 'base'))}) AS ps FROM s)
+SELECT page_id, NOT inside AS level0, NOT inside AND NOT same AS level1, NOT inside AND NOT same AND ps AS level2, NOT inside AND CASE WHEN same THEN pd ELSE ps END AS level3, false AS level4 FROM t""")
 def fetchlevel_rules(spark, d):
+    """Whether each level leaves a page out, seen from the first page or, for every third, from the last."""
     p = _pages(spark, d)
-    base = F.broadcast(p.agg(F.min("url").alias("base")))  # one row
-    levels = [filters.external(F.col("url"), F.lit("generic"), F.col("base"), F.lit(None).cast("string"), CrawlConfig(fetchlevel=n)).alias(f"level{n}") for n in (0, 1)]
-    return p.join(base).select("page_id", *levels)
+    base = F.broadcast(p.agg(F.min("url").alias("base"), F.max("url").alias("other")))  # one row
+    j = p.join(base).withColumn("parent", F.when(F.col("page_id") % 3 == 0, F.col("other")).otherwise(F.col("base")))
+    return j.select("page_id", *(filters.external(F.col("url"), F.lit("generic"), F.col("base"), F.col("parent"), CrawlConfig(fetchlevel=n)).alias(f"level{n}") for n in range(5)))
 
 
-_ROBOTS = "User-agent: skein\nAllow: /a\nDisallow: /\n\nUser-agent: *\nDisallow: /t\n"
+_ROBOTS = {
+    "www.%": "User-agent: skein\nAllow: /a\nDisallow: /\n\nUser-agent: *\nDisallow: /t\n",
+    "blog.%": "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /%61\nDisallow: /t # rest\n",
+    "m.%": "",
+}
 
 
-@query(f"SELECT page_id, CASE WHEN {_sql(_HOST)} LIKE 'www.%' THEN starts_with({_sql(_PATH)}, '/a') WHEN {_sql(_HOST)} LIKE 'm.%' THEN false ELSE true END AS allowed FROM pages")
+@query(f"""SELECT page_id, CASE WHEN {_sql(_HOST)} LIKE 'www.%' THEN starts_with({_sql(_PATH)}, '/a') WHEN {_sql(_HOST)} LIKE 'blog.%' THEN NOT (starts_with({_sql(_PATH)}, '/a') OR starts_with({_sql(_PATH)}, '/t'))
+ WHEN {_sql(_HOST)} LIKE 'm.%' THEN false ELSE true END AS allowed FROM pages""")
 def robots_check(spark, d):
+    """Two bodies, a denial, and hosts without a file."""
     p = _pages(spark, d).select("page_id", F.col("page_id").alias("url_id"), "url")
     hosts = p.select(U.host(F.col("url")).alias("host")).distinct()
-    robots = hosts.select("host", F.when(F.col("host").like("m.%"), 403).when(F.col("host").like("www.%"), 200).otherwise(404).alias("status"), F.lit(_ROBOTS).alias("body"))
+    body = F.coalesce(*(F.when(F.col("host").like(k), F.lit(v)) for k, v in _ROBOTS.items()))
+    robots = hosts.select("host", F.when(F.col("host").like("m.%"), 403).when(body.isNotNull(), 200).otherwise(404).alias("status"), body.alias("body"))
     return filters.robots_allowed(p, filters.parse_robots(robots), "skein/1.0").select("page_id", "allowed")
 
 
@@ -277,11 +302,9 @@ def url_tree_html(spark, d):
 
 @query(f"WITH p AS (SELECT {_sql(_HOST)} AS name, dense_rank() OVER (ORDER BY {_sql(_HOST)}) AS id, count(*) AS urls FROM pages GROUP BY 1) SELECT id, name, CASE WHEN id % 2 = 0 THEN urls ELSE 0 END AS urls FROM p")
 def project_report(spark, d):
-    from pyspark.sql import Window as W
-
-    hosts = _pages(spark, d).groupBy(U.host(F.col("url")).alias("name")).agg(F.count(F.lit(1)).alias("urls"))
-    numbered = hosts.withColumn("id", F.row_number().over(W.orderBy("name")).cast("long"))
-    return reports.project_report(numbered.select("id", "name"), numbered.where("id % 2 = 0").select(F.col("id").alias("project_id"), "urls")).select("id", "name", F.coalesce("urls", F.lit(0)).alias("urls"))
+    hosts = _pages(spark, d).groupBy(U.host(F.col("url")).alias("name")).agg(F.count(F.lit(1)).alias("urls")).orderBy("name")
+    numbered = cache.insert(hosts.select("name", "urls").limit(0).withColumns({"__id__": F.lit(0).cast("long"), "__version__": F.lit(0)}), hosts, 1).withColumnRenamed("__id__", "id")
+    return reports.project_report(numbered.select("id", "name"), numbered.where("id % 2 = 0").select(F.col("id").alias("project_id"), "urls")).select("id", "name", F.coalesce("urls", F.lit(0)).alias("urls")).orderBy("id")
 
 
 @query(f"SELECT page_id AS source_id, pos, child FROM {_LINKS} WHERE pos >= 1 AND pos < 4")
@@ -322,8 +345,9 @@ def _edges(spark, d):
     return _links(spark, d).select(F.concat(U.host(s), F.regexp_replace(U.path(s), "/$", "")).alias("source"), F.concat(U.host(s), F.col("child")).alias("child")).distinct()
 
 
-@query(f"""WITH RECURSIVE e AS {_EDGES}, s AS (SELECT min(source) AS node FROM e GROUP BY split_part(source, '/', 1)), r(node, level) AS (SELECT node, 0 FROM s UNION SELECT e.child, r.level + 1 FROM r JOIN e ON e.source = r.node WHERE r.level < 12)
-SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE e AS {_EDGES}, s AS (SELECT min(source) AS node FROM e GROUP BY split_part(source, '/', 1)), r(node, level) USING KEY (node) AS (
+ SELECT node, 0 FROM s UNION SELECT DISTINCT e.child, r.level + 1 FROM r JOIN e ON e.source = r.node LEFT JOIN recurring.r AS known ON known.node = e.child WHERE known.node IS NULL)
+SELECT node, CAST(level AS INTEGER) AS level FROM r""")
 def frontier_levels(spark, d):
     e = _edges(spark, d)
     start = e.groupBy(F.substring_index("source", "/", 1)).agg(F.min("source").alias("node"))
@@ -369,16 +393,64 @@ def last_posts(spark, d):
     return reports.last_posts(p, "e").select("title", "url")
 
 
-#: Levels, and directories below the start, of a crawl that ends only when a level finds nothing.
-UNBOUNDED = 2**31 - 1
+_FULL = f"CASE WHEN starts_with(child, '/') THEN {_PORTLESS} || child ELSE child END"
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT regexp_replace({_sql(_CANON, 'source')}, '#.*$', '') AS source, page_id, pos, {_FULL} AS child FROM {_LINKS}),
+e AS (SELECT DISTINCT source, {_sql(_CANON, 'child')} AS child FROM l),
+p AS (SELECT DISTINCT {_sql(_CANON)} AS node FROM pages),
+s AS (SELECT {_sql(_CANON, 'u')} AS node FROM (SELECT min_by(url, page_id) AS u FROM pages)),
+r(node, level) USING KEY (node) AS (SELECT node, 0 FROM s UNION SELECT DISTINCT e.child, r.level + 1 FROM r JOIN e ON e.source = r.node LEFT JOIN recurring.r AS known ON known.node = e.child WHERE known.node IS NULL)
+SELECT r.node AS canonical_url, CAST(level AS INTEGER) AS generation, CAST(CASE WHEN p.node IS NULL THEN 404 ELSE 0 END AS INTEGER) AS status FROM r LEFT JOIN p ON p.node = r.node""")
 def crawl_snapshot(spark, d):
-    """A crawl of the snapshot from its first page, over every level."""
+    """A crawl of the snapshot from its first page, until a level finds nothing."""
     pages = readers.pages(spark, d)
     start = pages.agg(F.min_by("url", "page_id").alias("url")).first()["url"]
-    return crawl.crawl(spark, pages, CrawlConfig(start_url=start, fetchlevel=4, junkfilter=False, depth=UNBOUNDED, maxfiles=0), levels=UNBOUNDED).select("url", "kind", "generation", "priority", "status", "filter_reason")
+    got = crawl.crawl(spark, pages, CrawlConfig(start_url=start, fetchlevel=4, junkfilter=False, depth=-1, maxfiles=0, getquerylinks=True))
+    return got.select("canonical_url", "generation", "status")
+
+
+@query(f"""WITH m AS (SELECT page_id AS url_id, url, octet_length(encode(html)) AS length, n FROM pages, (SELECT 3 AS n))
+SELECT url_id, CAST(p + 1 AS BIGINT) AS mirror_id, CAST(p AS INTEGER) AS part, CAST(p * (length // n) AS BIGINT) AS range_start, CAST(CASE WHEN p = n - 1 THEN length ELSE (p + 1) * (length // n) END - 1 AS BIGINT) AS range_end FROM m, unnest(range(0, 3)) AS t(p)""")
+def mirror_ranges(spark, d):
+    """Pieces of every page's body, one on each of three mirrors."""
+    mirrors = spark.createDataFrame([(i, f"http://m{i}.example/pub") for i in (1, 2, 3)], "mirror_id long, base_url string")
+    files = _pages(spark, d).select(F.col("page_id").alias("url_id"), F.octet_length("html").alias("length"))
+    urls = graph.mirror_urls(_pages(spark, d).select(F.col("page_id").alias("url_id"), "url"), mirrors)
+    return graph.mirror_ranges(files, urls, 4).select("url_id", "mirror_id", "part", "range_start", "range_end")
+
+
+@query(f"SELECT page_id AS url_id, CASE WHEN {_sql(_PROTO)} || '://' || {_sql(_HOST)} = (SELECT min({_sql(_PROTO)} || '://' || {_sql(_HOST)}) FROM pages) THEN 1::BIGINT ELSE 2::BIGINT END AS mirror_id FROM pages WHERE {_sql(_PROTO)} || '://' || {_sql(_HOST)} = (SELECT min({_sql(_PROTO)} || '://' || {_sql(_HOST)}) FROM pages) OR url = (SELECT max(url) FROM pages)")
+def mirror_find(spark, d):
+    """Pages that stand on a mirror: the first server, by base URL, and the last page, as it is."""
+    p = _pages(spark, d).select(F.col("page_id").alias("url_id"), "url", U.full_domain(F.col("url")).alias("base_url"))
+    mirrors = p.agg(F.min("base_url").alias("a"), F.max("url").alias("b")).select(F.explode(F.array(F.struct(F.lit(1).cast("long").alias("mirror_id"), F.col("a").alias("base_url"), F.lit(False).alias("absolute")), F.struct(F.lit(2).cast("long").alias("mirror_id"), F.col("b").alias("base_url"), F.lit(True).alias("absolute")))).alias("m")).select("m.*")
+    return graph.find_mirror(p, mirrors)
+
+
+@query("SELECT page_id, 'No ' || page_id || '|' || url AS cells, 'No ' || page_id AS label, url AS link FROM pages")
+def table_cells(spark, d):
+    """Cells and labelled links of a table made of each page."""
+    html = F.concat(F.lit("<table><tr class=x><td><b>No</b>\n "), F.col("page_id").cast("string"), F.lit("</td><TD><a href=\""), "url", F.lit("\">"), "url", F.lit("</a></TD></tr></table>"))
+    p = _pages(spark, d).select("page_id", H.table_rows(html).alias("rows"), H.labelled_links(html).alias("links"))
+    return p.select("page_id", F.array_join(F.get("rows", F.lit(0)), "|").alias("cells"), F.get("links", F.lit(0))["label"].alias("label"), F.get("links", F.lit(0))["link"].alias("link"))
+
+
+@query("SELECT page_id, regexp_matches(html, '(?i)the') AS hit FROM pages")
+def page_search(spark, d):
+    none = F.lit(None).cast("string")
+    return _pages(spark, d).select("page_id", filters.page_searched(H.title(F.col("html")), F.array().cast("array<string>"), none, F.col("html"), "(?i)the").alias("hit"))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT source, child, min(pos) AS pos FROM (SELECT {_sql(_HOST, 'source')} || regexp_replace({_sql(_PATH, 'source')}, '/$', '') AS source, {_sql(_HOST, 'source')} || child AS child, pos FROM {_LINKS}) GROUP BY ALL),
+s AS (SELECT min(source) AS node FROM l), r(node, level) USING KEY (node) AS (SELECT node, 0 FROM s UNION SELECT DISTINCT l.child, r.level + 1 FROM r JOIN l ON l.source = r.node LEFT JOIN recurring.r AS known ON known.node = l.child WHERE known.node IS NULL)
+SELECT node, CAST(level AS INTEGER) AS tabs FROM r""")
+def link_tree(spark, d):
+    """The whole tree below the first page; the SQL has its nodes and their depth."""
+    s = F.col("source")
+    links = _links(spark, d).select(F.concat(U.host(s), F.regexp_replace(U.path(s), "/$", "")).alias("source"), F.concat(U.host(s), F.col("child")).alias("child"), "pos").groupBy("source", "child").agg(F.min("pos").alias("pos"))
+    tree = reports.tree_lines(crawl.link_tree(links, links.agg(F.min("source").alias("node"))))
+    return tree.select(F.regexp_replace("line", "^\t*", "").alias("node"), F.length(F.regexp_extract("line", "^\t*", 0)).alias("tabs"))
 
 
 @query(f"SELECT CAST(len({_sql(_DIRS)}) AS INTEGER) AS depth, count(*) AS n FROM pages GROUP BY 1")

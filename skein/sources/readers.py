@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from skein.config import CrawlConfig
+from skein.functions import html as H
 from skein.functions import url as U
+from skein.functions.url import resolve_one
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,7 +71,7 @@ _ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link
 FEED = T.StructType([T.StructField("version", T.StringType()), T.StructField("title", T.StringType()), T.StructField("link", T.StringType()), T.StructField("entries", T.ArrayType(_ENTRY)), T.StructField("bozo", T.BooleanType())])
 
 
-def _feed(text: str | None) -> dict:
+def _feed(text: str | None, base: str | None = None) -> dict:
     out = {"version": None, "title": None, "link": None, "entries": [], "bozo": False}
     try:
         root = ET.fromstring((text or "").strip().encode())
@@ -88,10 +91,12 @@ def _feed(text: str | None) -> dict:
     kind = plain(root)
     out["version"] = {"feed": "atom", "rss": "rss" + root.get("version", ""), "rdf": "rss1.0", "channel": "cdf"}.get(kind)
     head = next((c for c in root if plain(c) == "channel"), root)
-    out |= {"title": get(head, "title"), "link": get(head, "link")}
+    base = root.get("{http://www.w3.org/XML/1998/namespace}base") or base
+    whole = lambda link: (resolve_one(link, base)[0] or link) if link and base else link
+    out |= {"title": get(head, "title"), "link": whole(get(head, "link"))}
     for e in root.iter():
         if plain(e) in ("item", "entry"):
-            out["entries"].append((get(e, "title"), get(e, "link"), get(e, "guid", "id"), get(e, "description", "summary", "content", "abstract"), get(e, "pubdate", "published", "updated", "date", "issued")))
+            out["entries"].append((get(e, "title"), whole(get(e, "link")), get(e, "guid", "id"), H.with_absolute_links(get(e, "description", "summary", "content", "abstract"), base), get(e, "pubdate", "published", "updated", "date", "issued")))
     return out
 
 
@@ -100,9 +105,27 @@ def parse_feed(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_feed(x if isinstance(x, str) else None) for x in xml], columns=FEED.names)
 
 
+@F.pandas_udf(FEED)
+def parse_feed_at(xml: pd.Series, url: pd.Series) -> pd.DataFrame:
+    """Feeds with the URLs that they came from: links, and those in the markup of entries, are made absolute."""
+    return pd.DataFrame([_feed(x if isinstance(x, str) else None, u if isinstance(u, str) else None) for x, u in zip(xml, url)], columns=FEED.names)
+
+
 def conditional(frontier: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Fetch results of a frontier (url_id, url): rows of the snapshot, 404 where it has none."""
-    return frontier.join(snapshot.select("url_id", F.col("status").alias("_s"), "html"), "url_id", "left").withColumn("status", F.coalesce("_s", F.lit(404))).drop("_s")
+    """Fetch results of a frontier (url_id, url): rows of the snapshot, 404 where it has none; of several with one key the one of the same URL, else the first.
+
+    actual_url, last_modified and etag come along where the snapshot has them.
+    """
+    more = [c for c in ("actual_url", "last_modified", "etag") if c in snapshot.columns]
+    there = snapshot.select("url_id", F.col("url").alias("_u") if "url" in snapshot.columns else F.lit(None).cast("string").alias("_u"), F.col("status").alias("_s"), "html", *more)
+    j = frontier.join(there, "url_id", "left").withColumn("status", F.coalesce("_s", F.lit(404)))
+    one = F.row_number().over(W.partitionBy("url_id", "url").orderBy(F.coalesce(F.col("_u") != F.col("url"), F.lit(True)), "_u", "_s", "html"))
+    return j.withColumn("_n", one).where("_n = 1").drop("_s", "_u", "_n")
+
+
+def junk_patterns(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Patterns of junk URLs from a list with one a line, for CrawlConfig.junk_patterns."""
+    return tuple(r[0] for r in spark.read.text(path).where("trim(value) <> ''").collect())
 
 
 def slices(files: DataFrame, body: Column = None) -> DataFrame:

@@ -58,7 +58,7 @@ def _localised(html: str, links: list) -> str:
     for link in links:
         old, new = link["link"], link["local"]
         if old and new:
-            html = re.sub(r"(?i)((?:href|src|background|action)\s*=\s*[\"']?)" + re.escape(old) + r"(?=[\"'\s>])", lambda m, n=new: m.group(1) + n, html, count=1)
+            html = re.sub(r"(?i)((?:href|src|background|action)\s*=\s*[\"']?)" + re.escape(old) + r"(?=[\"'\s>])", lambda m, n=new: m.group(1) + n, html)
     return html
 
 
@@ -68,7 +68,7 @@ def localise(html: pd.Series, links: pd.Series) -> pd.Series:
 
 
 def localised_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """pages (url, html) whose links (source, link, local) name local files; each link's first occurrence is changed, and base elements go."""
+    """pages (url, html) whose links (source, link, local) name local files; a link is changed wherever it occurs, and base elements go."""
     own = links.groupBy(F.col("source").alias("url")).agg(F.collect_list(F.struct("link", "local")).alias("links"))
     j = pages.join(own, "url", "left")
     return j.withColumn("html", F.when(F.col("links").isNull(), F.col("html")).otherwise(localise("html", "links"))).drop("links")
