@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 from skein.llm.shared import chunks, mapped, stored, table, text_of
 
 SCALE_BITS = 20
-LANES = 1024
-CHECKPOINT_ROWS = 128
-BLOCK_IDS = 1 << 18
+LANES = 4096
+CHECKPOINT_ROWS = 64
+BLOCK_IDS = 1 << 19
 #: Ids after which a section is closed; a longer document makes a longer section.
 SECTION_IDS = 1 << 21
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_800_000
+#: The commonest words of the first that a worker meets have a table of their own, looked up first.
+HOT_WORDS, MET_WORDS = 20_000, 400_000
 END_ID = 2
 #: Shards whose bounds are found by sketch and written into the plan; more are dealt by Spark's range partitioning.
 MOST_BOUNDS = 2048
@@ -257,6 +260,9 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}  # pieces of words that have several
         self.spaced: dict[str, bytes] = {}  # words that follow a space
+        self.hot: dict[str, bytes] = {}  # the commonest of them, few enough for the processor's own memory
+        self.met: Counter[str] | None = Counter()  # the first words met, to find those
+        self.n_met = 0
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and made.get("normalizer") is None and made["model"]["type"] == "BPE"
@@ -307,16 +313,25 @@ class Encoder:
         out, spaced = [], self.spaced
         for text in texts:
             words = self.words(text)
-            coded = list(map(spaced.get, words))
+            coded = list(map(self.hot.get, words))
             coded[0] = self._word(words[0])
             if None in coded:
                 for i, got in enumerate(coded):
                     if got is None:
                         word = words[i]
-                        coded[i] = got = self._word(" " + word)
-                        if len(spaced) < self.most:
-                            spaced[word] = got
+                        got = spaced.get(word)
+                        if got is None:
+                            got = self._word(" " + word)
+                            if len(spaced) < self.most:
+                                spaced[word] = got
+                        coded[i] = got
             out.append(np.frombuffer(b"".join(coded), "<u4"))
+            if self.met is not None:
+                self.met.update(words[1:])
+                self.n_met += len(words)
+                if self.n_met >= MET_WORDS:
+                    self.hot = {w: spaced[w] for w, _ in self.met.most_common(HOT_WORDS) if w in spaced}
+                    self.met = None
         return out
 
 
