@@ -14,7 +14,8 @@ them (`_needed`); with longer prefixes and near sizes, that is most of a prefix.
    meets most often is proposed, and in groups of several nodes the least node is. Proposals that
    share enough of their prefixes are verified on whole sets, and the links give first components.
 3. While lists of over `LONG_LIST` entries lie in several components, the entries outside the
-   largest one meet a hub of it in further star rounds.
+   largest one meet a hub of it in further star rounds, which move those lists alone; the
+   components of the other lists are renamed once, after the last round.
 4. What lies in different components even then is compared: an entry meets another if theirs can
    be the first common shingle of sets that link, by their sizes and both positions; so a pair
    meets about once, and in long lists only within the bands of size that a position leaves. Pairs
@@ -85,6 +86,15 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h + np.uint64(3)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """32-bit counts, compressed; all lowest bytes stand together, as the others are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int, float]:
     """Class of each bucket of the count sketch over all shingles of docs, in half standard deviations from four below the mean, the sketch's bits, and its mean.
 
@@ -106,14 +116,13 @@ def rank_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int, float]:
             total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
         for i, part in enumerate(np.split(total, n_chunks)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(zlib.decompress(packed), np.uint32)
-                total[i] = total.get(i, 0) + own.astype(np.int64)
+                total[i] = total.get(i, 0) + _unpacked(packed).astype(np.int64)
         for i, part in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([int(part.sum())], pa.int64())], ["chunk", "counts", "n"])
 
@@ -173,33 +182,42 @@ def signatures(docs: DataFrame, ranks: np.ndarray, bits: int, k: int, percent: i
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and its set, for the documents in wanted (node), and for few others where those are many.
+def _marked(rows: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """Of rows, those whose column has a value that wanted has; or else, where those values are many, marks and a further column b for `_kept`.
 
-    Few wanted ids are broadcast, so that other texts never leave the JVM; of more a filter of
-    16 bits an id is, so long as it fits FILTER_BITS; of yet more nothing is, and all sets are made.
+    Few wanted values are broadcast, so that other rows never leave the JVM; of more a filter of
+    16 bits a value is, so long as it fits FILTER_BITS; of yet more nothing is, and all rows stay.
     """
     n = wanted.count()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
     bits = max(16, (16 * n).bit_length())
-    marks = None
     if n <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(wanted), "node", "left_semi")
-    elif bits <= FILTER_BITS:
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-        words = wanted.select(place("node").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
-        marks = np.zeros((1 << bits) // 64, np.int64)
-        marks[words.column("w").to_numpy()] = words.column("m").to_numpy()
-        texts = texts.withColumn("b", place("node"))
+        return rows.join(F.broadcast(wanted), column, "left_semi"), None
+    if bits > FILTER_BITS:
+        return rows, None
+    place = F.pmod(F.xxhash64(column), F.lit(1 << bits)).alias("b")
+    words = wanted.select(place).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
+    marks = np.zeros((1 << bits) // 64, np.int64)
+    marks[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return rows.select("*", place), marks
+
+
+def _kept(batch: pa.RecordBatch, marks: np.ndarray | None) -> pa.RecordBatch:
+    """The rows of a batch that marks let through, without the column b."""
+    if marks is None:
+        return batch
+    b = batch.column("b").to_numpy()
+    return batch.filter(pa.array(((marks[b >> 6] >> (b & 63)) & 1) == 1)).select([c for c in batch.schema.names if c != "b"])
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node and its set, for the documents in wanted (node), and for few others where those are many."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts, marks = _marked(docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL"), "node", wanted)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared.value is not None:
-                b = batch.column("b").to_numpy()
-                batch = batch.filter(pa.array(((shared.value[b >> 6] >> (b & 63)) & 1) == 1)).select(["node", "text"])
-            for part in chunks(iter([batch])):
+            for part in chunks(iter([_kept(batch, shared.value)])):
                 h, at = _sets(part, k)
                 own = [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(part.num_rows)]
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
@@ -227,9 +245,21 @@ def _needed(x, y, percent: int):
     return F.greatest(F.lit(1), _overlap(x, y, percent) - F.greatest(_rest(x, percent), _rest(y, percent)))
 
 
+def _prefixes(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gid, n and prefix of the groups in wanted (gid), and of few others where those are many."""
+    rows = groups.select("gid", "n", "prefix")
+    found, marks = _marked(rows, "gid", wanted)
+    if marks is None:
+        return found
+    shared = groups.sparkSession.sparkContext.broadcast(marks)
+    return mapped(found, lambda batches: (_kept(batch, shared.value) for batch in batches), rows.schema)
+
+
 def _alike(pairs: DataFrame, groups: DataFrame, percent: int, *more: str) -> DataFrame:
-    """The pairs of groups (a, b), and more columns of theirs, whose prefixes share as much as a link needs."""
-    left = pairs.where("a <> b").join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+    """The stored pairs of groups (a, b), and more columns of theirs, whose prefixes share as much as a link needs."""
+    pairs = pairs.where("a <> b")
+    groups = _prefixes(groups, pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct())
+    left = pairs.join(groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     both = left.join(groups.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     return both.where(F.size(F.array_intersect("pa", "pb")) >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", *more)
 
@@ -311,6 +341,18 @@ def _sides(entries: DataFrame, *columns: str) -> list[DataFrame]:
     return [entries.select(F.col("tok"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c", *columns))) for s in "xy"]
 
 
+def _relabelled(table: DataFrame, before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
+    """The table with the components in columns, as `before` (node, component) has them, named as `after` has them.
+
+    A component bears the name of a node of its own, so that node's later component is its later name.
+    """
+    moved = after.where("node <> component").join(before.where("node <> component"), "node", "left_anti")
+    moved = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
+    for c in columns:
+        table = table.join(moved.select(F.col("node").alias(c), F.col("component").alias("renamed")), c, "left").withColumn(c, F.coalesce("renamed", c)).drop("renamed")
+    return table
+
+
 def _further_proposals(entries: DataFrame, percent: int) -> DataFrame:
     """Of long lists, each group outside the largest component with the hub it could link with in most lists: a (gid), b (gid), node_a, node_b.
 
@@ -352,28 +394,45 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     ranks, bits, mean = rank_table(docs, k)
     signed = stored(signatures(docs, ranks, bits, k, percent), "signatures")
     nodes, groups, members = _grouped(signed)
+    documents = stored(signed.select("doc_id", "n", "h1", "h2"), "documents")
+    remove(signed)
     lists = stored(prefix_lists(groups, percent, mean), "lists")
 
     # first star round: hubs and neighbours of lists, and the nodes of each group with its least one
-    proposed = _alike(_first_proposals(lists, percent), groups, percent).union(members.where("node <> gid").select("node", "gid"))
+    offered = [stored(_first_proposals(lists, percent), "offered")]
+    proposed = _alike(offered[0], groups, percent).union(members.where("node <> gid").select("node", "gid"))
     pairs = [stored(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")]
     links = [stored(_verified(pairs[0], docs, k, percent), "links")]
     tried = lambda: reduce(DataFrame.union, pairs)
-    for left in range(STAR_ROUNDS, -1, -1):
-        components = connected_components(reduce(DataFrame.union, links))
-        labelled = stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
-        entries = stored(_split_lists(lists, labelled), "entries")
-        if not left or not entries.where(F.col("m") > LONG_LIST).head(1):
+    label = lambda: stored(members.join(components.withColumnRenamed("component", "c"), "node", "left").select("node", "gid", F.coalesce("c", "node").alias("c")), "labelled")
+    first = components = connected_components(reduce(DataFrame.union, links))
+    labelled = label()
+    entries = stored(_split_lists(lists, labelled), "entries")
+    remove(lists)
+
+    # further star rounds: only long lists are split anew
+    short, long = entries.where(F.col("m") <= LONG_LIST), stored(entries.where(F.col("m") > LONG_LIST), "long")
+    for _ in range(STAR_ROUNDS):
+        if not long.where(F.col("m") > LONG_LIST).head(1):
             break
-        further = _alike(_further_proposals(entries, percent), groups, percent, "node_a", "node_b")
+        offered.append(stored(_further_proposals(long, percent), "offered"))
+        further = _alike(offered[-1], groups, percent, "node_a", "node_b")
         pairs.append(stored(further.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct().join(tried(), ["a", "b"], "left_anti"), "pairs"))
         links.append(stored(_verified(pairs[-1], docs, k, percent), "links"))
         if not links[-1].head(1):
             break
-        remove(labelled, entries)
+        components = connected_components(reduce(DataFrame.union, links))
+        remove(labelled)
+        labelled = label()
+        split = stored(_split_lists(long.select("tok", "gid", "n", "pos").distinct(), labelled), "long")
+        remove(long)
+        long = split
+    if components is not first:
+        short = _relabelled(short, first, components, "c", "big")
 
     # what is left: lists and groups whose nodes lie in different components
-    met = _alike(_across(entries, percent), groups, percent)
+    offered.append(stored(_across(short.unionByName(long), percent), "offered"))
+    met = _alike(offered[-1], groups, percent)
     torn = labelled.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     p, q = (labelled.select(F.col("node").alias(n), F.col("gid").alias(g), F.col("c").alias(f"c_{n}")) for n, g in (("node_a", "a"), ("node_b", "b")))
     rest = met.union(torn).join(p, "a").join(q, "b").where("c_node_a <> c_node_b").select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
@@ -382,10 +441,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links.append(stored(_verified(pairs[-1], docs, k, percent), "links"))
         if links[-1].head(1):
             components = connected_components(reduce(DataFrame.union, links))
-    remove(groups, members, lists, labelled, entries, *pairs, *links)
+    remove(groups, members, labelled, entries, long, *offered, *pairs, *links)
 
     of_node = nodes.select("n", "h1", "h2", "node").join(components, "node", "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component"))
-    of_document = signed.select("doc_id", "n", "h1", "h2").join(of_node, ["n", "h1", "h2"], "left")
+    of_document = documents.join(of_node, ["n", "h1", "h2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return of_document.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -76,3 +76,21 @@ def test_a_very_long_text_and_its_copy(spark):
     long = words(r, 60_000)
     rows = [(1, " ".join(long)), (2, " ".join([*long[:-100], *words(r, 100)])), (3, " ".join(long[: len(long) // 2]))]
     assert [(c, n > 29_000) for _, n, c in sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()))] == [(1, True), (1, True), (3, True)]
+
+
+def test_further_star_rounds_move_long_lists_alone(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG_LIST", 12)
+    r = random.Random(8)
+    drifting, rows = words(r, 150), []
+    for i in r.sample(range(100), 100):
+        drifting[r.randrange(150)] = f"e{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(drifting)))
+    for i in range(600):
+        shared = words(r, 40)
+        rows += [(1000 + 2 * i + j, " ".join(words(r, 10) + shared + words(r, 10))) for j in range(2)]
+    rows.sort()
+    moved, split = [], J._split_lists
+    monkeypatch.setattr(J, "_split_lists", lambda lists, labelled: moved.append(lists.count()) or split(lists, labelled))
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()))
+    assert got == brute_force(rows)
+    assert len(moved) > 1 and max(moved[1:]) < moved[0] / 2, moved
