@@ -38,11 +38,13 @@ def retry_failed(fetched: DataFrame, snapshot: DataFrame, cfg: CrawlConfig) -> D
 
 
 def split_download(files: DataFrame, cfg: CrawlConfig, ranges: DataFrame | None = None) -> DataFrame:
-    """Pieces to fetch of files (url, length): as many as set where the server takes ranges (ranges: host), else one."""
+    """Pieces to fetch of files (url, length), none of them empty: as many as set where the server takes ranges (ranges: host), else one."""
     if ranges is None:
-        return graph.byte_ranges(files, cfg.numparts)
-    able = files.join(ranges.select("host").distinct(), U.host(F.col("url")) == F.col("host"), "left").withColumn("able", F.col("host").isNotNull()).drop("host")
-    return graph.byte_ranges(able.where("able").drop("able"), cfg.numparts).unionByName(graph.byte_ranges(able.where("NOT able").drop("able"), 1))
+        pieces = graph.byte_ranges(files, cfg.numparts)
+    else:
+        able = files.join(ranges.select("host").distinct(), U.host(F.col("url")) == F.col("host"), "left").withColumn("able", F.col("host").isNotNull()).drop("host")
+        pieces = graph.byte_ranges(able.where("able").drop("able"), cfg.numparts).unionByName(graph.byte_ranges(able.where("NOT able").drop("able"), 1))
+    return pieces.where("range_end >= range_start")
 
 
 def short_pieces(pieces: DataFrame) -> DataFrame:
